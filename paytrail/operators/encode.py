@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,58 +95,46 @@ def target_encode(df: DataFrame, key: str, label: str, stats: Sequence[str] = ("
     return attach(df, table, key, **limits)
 
 
-def _cells(label: str, outer: str, inner: str, n_outer: int, n_inner: int) -> list[Column]:
-    """Sum and count of the label per (outer, inner) cell, as one flat aggregate list."""
-    out = []
-    for o in range(n_outer):
-        for i in range(n_inner):
-            here = (F.col(outer) == o) & (F.col(inner) == i)
-            out.append(F.coalesce(F.sum(F.when(here, F.col(label))), F.lit(0)).alias(f"s_{o}_{i}"))
-            out.append(F.count(F.when(here, F.col(label))).alias(f"c_{o}_{i}"))
-    return out
-
-
-def _total(kind: str, outers: Sequence[int], inners: Sequence[int]) -> Column:
-    return sum((F.col(f"{kind}_{o}_{i}") for o in outers for i in inners), F.lit(0))
-
-
 def impact_table(df: DataFrame, key: str, label: str, outer: str, inner: str, n_outer: int = 5, n_inner: int = 5) -> DataFrame:
-    """Rows ``(key, _w, fold_values, mapping)`` of the nested out-of-fold coding.
+    """Rows ``(key, fold_values, mapping)`` of the nested out-of-fold coding.
 
-    One aggregate keeps the label sum and count of every (outer, inner) cell of a key. The mean of a key outside fold
-    ``o`` and inner fold ``i`` then is the total of the remaining cells, so no fold is joined with another.
+    The label sum and count of every (outer, inner) cell of a key are all that is needed: the mean of a key outside
+    fold ``o`` and inner fold ``i`` adds up its other cells. A key holds at most ``n_outer * n_inner`` cells, so the
+    list per key is bounded and no fold is joined with another.
     """
     known = df.filter(F.col(label).isNotNull())
-    cells = _cells(label, outer, inner, n_outer, n_inner)
-    by_key = known.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_w"), *cells)
-    outers, inners = range(n_outer), range(n_inner)
+    value = F.col(label).cast("double")
+    means = known.agg(
+        F.struct(
+            F.avg(value).alias("mean"),
+            F.array(*[F.avg(F.when(F.col(outer) != o, value)) for o in range(n_outer)]).alias("outside"),
+        )
+    )
+    cells = (
+        known.filter(F.col(key).isNotNull())
+        .groupBy(key, F.col(outer).alias("o"), F.col(inner).alias("i"))
+        .agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
+        .groupBy(key)
+        .agg(F.collect_list(F.struct("o", "i", "s", "c")).alias("_cells"))
+        .withColumn("_g", means.scalar())
+    )
 
-    def others(o: int) -> list[int]:
-        return [x for x in outers if x != o]
+    def mean_of(some: Column) -> Column:
+        total = F.aggregate(some, F.lit(0.0), lambda acc, x: acc + x["s"])
+        return F.try_divide(total, F.aggregate(some, F.lit(0).cast("long"), lambda acc, x: acc + x["c"]))
 
-    def ratio(s: Column, c: Column) -> Column:
-        return F.try_divide(s.cast("double"), c)
+    def fold_value(o: Column) -> Column:
+        rest = F.filter("_cells", lambda x: x["o"] != o)
+        inners = F.transform(
+            F.sequence(F.lit(0), F.lit(n_inner - 1)),
+            lambda i: F.coalesce(mean_of(F.filter(rest, lambda x: x["i"] != i)), F.get("_g.outside", o)),
+        )
+        blended = F.aggregate(inners, F.lit(0.0), lambda acc, m: acc + m) / n_inner
+        return F.when(F.size(rest) > 0, blended).otherwise(F.col("_g.mean"))
 
-    whole = known.agg(*cells).select(
-        F.struct(
-            ratio(_total("s", outers, inners), _total("c", outers, inners)).alias("mean"),
-            F.array(*[ratio(_total("s", others(o), inners), _total("c", others(o), inners)) for o in outers]).alias("outside"),
-        ).alias("g")
-    )
-    g = whole.scalar()
-    values = []
-    for o in outers:
-        means = []
-        for i in inners:
-            rest = [x for x in inners if x != i]
-            m = ratio(_total("s", others(o), rest), _total("c", others(o), rest))
-            means.append(F.coalesce(m, g.getField("outside").getItem(o)))
-        seen = _total("c", others(o), inners) > 0
-        mean = sum(means[1:], means[0]) / n_inner
-        values.append(F.when(seen, mean).otherwise(g.getField("mean")))
-    table = by_key.select(key, "_w", F.array(*values).alias("fold_values"))
-    total = F.aggregate("fold_values", F.lit(0.0), lambda acc, v: acc + v)
-    return table.withColumn("mapping", total / n_outer)
+    folds = F.transform(F.sequence(F.lit(0), F.lit(n_outer - 1)), fold_value)
+    mapping = F.aggregate("fold_values", F.lit(0.0), lambda acc, v: acc + v) / n_outer
+    return cells.select(key, folds.alias("fold_values")).withColumn("mapping", mapping)
 
 
 def impact_encode(
@@ -169,20 +158,35 @@ def impact_encode(
     out = attach(df, table, key, **limits)
     own = F.get("fold_values", F.col(outer).cast("int"))
     value = F.when(F.col(label).isNotNull(), own).otherwise(F.col("mapping"))
-    return out.withColumn(name, F.coalesce(value, overall)).drop("_w", "fold_values", "mapping")
+    return out.withColumn(name, F.coalesce(value, overall)).drop("fold_values", "mapping")
 
 
-def quantile_bins(df: DataFrame, col: str, name: str, bins: int = 256, fill: float | None = -1.0) -> DataFrame:
-    """Bin number by exact quantile edges (equal edges merged), then renumbered densely from 0.
+def quantile_edges(df: DataFrame, col: str, bins: int) -> list[float]:
+    """Distinct exact quantiles at multiples of 1/bins, ascending: at most ``bins + 1`` numbers."""
+    found = exact_quantiles(df, col, [i / bins for i in range(bins + 1)])
+    return sorted({r["value"] for r in found.collect()})
+
 
-    The edges are at most ``bins + 1`` numbers; a value lies in the bin of the largest edge below it.
+def interval_number(df: DataFrame, col: str, edges: Sequence[float], name: str) -> DataFrame:
+    """0-based number of the interval ``(edge, next edge]`` of a value; the first interval is closed on both sides.
+
+    ``Bucketizer`` closes its intervals on the left, so the mirrored value is put between the mirrored edges.
     """
+    if len(edges) < 3:
+        return df.withColumn(name, F.when(F.col(col).isNotNull(), F.lit(0)))
+    mirror = Bucketizer(
+        splits=[-e for e in reversed(edges)], inputCol="_mirrored", outputCol="_slot", handleInvalid="keep"
+    )
+    placed = mirror.transform(df.withColumn("_mirrored", -F.col(col).cast("double")))
+    slot = F.when(F.col(col).isNotNull(), (F.lit(len(edges) - 2) - F.col("_slot")).cast("int"))
+    return placed.withColumn(name, slot).drop("_mirrored", "_slot")
+
+
+def quantile_bins(df: DataFrame, col: str, name: str, bins: int = 256, fill: float | None = -1.0) -> DataFrame:
+    """Bin number by exact quantile edges (equal edges merged), then renumbered densely from 0."""
     if fill is not None:
         df = df.withColumn(col, F.coalesce(F.col(col), F.lit(fill).cast(df.schema[col].dataType)))
-    probs = [i / bins for i in range(bins + 1)]
-    edges = exact_quantiles(df, col, probs).agg(F.array_sort(F.collect_set("value")).alias("edges")).scalar()
-    below = F.size(F.filter(edges, lambda e: e < F.col(col).cast("double")))
-    binned = df.withColumn("_bin", F.when(F.col(col).isNotNull(), F.greatest(below - 1, F.lit(0))))
+    binned = interval_number(df, col, quantile_edges(df, col, bins), "_bin")
     levels = binned.filter(F.col("_bin").isNotNull()).groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
     # at most `bins` rows, so the unpartitioned window is bounded by the argument
     codes = levels.select("_bin", (F.row_number().over(Window.orderBy("_bin")) - 1).alias("_bin_code"))
@@ -193,25 +197,24 @@ def quantile_bins(df: DataFrame, col: str, name: str, bins: int = 256, fill: flo
 
 def min_max(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """Scale to 0..1 by the column's own range; a constant column becomes 0."""
-    bounds = df.agg(
-        F.struct(
-            *[F.min(c).cast("double").alias(f"lo_{c}") for c in cols], *[F.max(c).cast("double").alias(f"hi_{c}") for c in cols]
-        ).alias("b")
-    ).scalar()
+    ends = df.agg(
+        F.struct(*[F.min(c).cast("double") for c in cols]).alias("_lo"), F.struct(*[F.max(c).cast("double") for c in cols]).alias("_hi")
+    ).select(F.struct("_lo", "_hi"))
     out = {}
-    for c in cols:
-        lo, hi = bounds.getField(f"lo_{c}"), bounds.getField(f"hi_{c}")
+    for i, c in enumerate(cols):
+        lo, hi = F.col(f"_ends._lo.col{i + 1}"), F.col(f"_ends._hi.col{i + 1}")
         out[f"{c}{suffix}"] = F.when(hi == lo, F.when(F.col(c).isNotNull(), 0.0)).otherwise((F.col(c) - lo) / (hi - lo))
-    return df.withColumns(out)
+    return df.withColumn("_ends", ends.scalar()).withColumns(out).drop("_ends")
 
 
 def z_score(df: DataFrame, col: str, centred: str, scaled: str) -> DataFrame:
     """Distance to the column mean, and that distance in sample standard deviations."""
-    stats = df.agg(
-        F.struct(F.avg(col).alias("mean"), F.stddev_samp(col).alias("std")).alias("s")
-    ).scalar()
-    return df.withColumn(centred, F.col(col) - stats.getField("mean")).withColumn(
-        scaled, F.try_divide(F.col(centred), stats.getField("std"))
+    stats = df.agg(F.struct(F.avg(col).alias("mean"), F.stddev_samp(col).alias("std")))
+    distance = F.col(col) - F.col("_s.mean")
+    return (
+        df.withColumn("_s", stats.scalar())
+        .withColumns({centred: distance, scaled: F.try_divide(distance, F.col("_s.std"))})
+        .drop("_s")
     )
 
 

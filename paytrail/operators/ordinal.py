@@ -106,6 +106,18 @@ def over_timeline(
     return cold.unionByName(heavy.filter("_own").drop("_rn", "_chunk", "_own"))
 
 
+def chunk_starts(ranked: DataFrame, by: Sequence[str], value: str, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The ranked table with its ``_chunk``, and per chunk and group the total ``_t`` and the sum ``_base`` before it.
+
+    The second table has at most (rows / chunk_rows) + (number of groups) rows, and a group's share of it is at most
+    rows / chunk_rows: the window over it stays small.
+    """
+    ranked = ranked.withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows))
+    totals = ranked.groupBy("_chunk", *by).agg(F.sum(value).alias("_t"))
+    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return ranked, totals.withColumn("_base", F.coalesce(F.sum("_t").over(earlier), F.lit(0)))
+
+
 def running_total(
     df: DataFrame,
     by: Sequence[str],
@@ -118,20 +130,16 @@ def running_total(
     """Add ``name`` = sum of ``value`` over the rows before this one within ``by`` along ``order`` (0 for the first).
 
     ``by`` and ``order`` together must be unique per row, or rows of one value would share a range partition. Chunk
-    are summed ahead of the rows, so no group and no global prefix is walked by one task.
+    totals are summed ahead of the rows, so no group and no global prefix is walked by one task.
     """
     by = list(by)
-    ranked = with_ordinal(df, [*by, *order], "_rn").df.withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows))
-    totals = ranked.groupBy("_chunk", *by).agg(F.sum(value).alias("_t"))
-    # at most (rows / chunk_rows) + (number of groups) rows; a group's share of it is rows / chunk_rows
-    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_chunk", *by, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_base"))
+    ranked, starts = chunk_starts(with_ordinal(df, [*by, *order], "_rn").df, by, value, chunk_rows)
     inside = Window.partitionBy("_chunk", *by).orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
     local = ranked.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     on = ["_chunk", *by]
     # no hint: the starts are about rows / chunk_rows + groups, and adaptive execution joins them by their real size
     return (
-        local.join(keyed(starts, on), key_condition(on, True), "left")
+        local.join(keyed(starts.drop("_t"), on), key_condition(on, True), "left")
         .withColumn(name, F.col("_base") + F.col("_in"))
         .drop("_rn", "_chunk", "_in", "_base", *[f"_k_{k}" for k in on])
     )

@@ -163,15 +163,16 @@ def profile_columns(df: DataFrame, cols: Sequence[str], order: Sequence[str]) ->
 
 def outliers_3sigma(df: DataFrame, col: str) -> DataFrame:
     """Counts beyond three population deviations, and their number as percent of the rows kept."""
-    band = df.agg(F.struct(F.avg(col).alias("m"), F.stddev_pop(col).alias("s")).alias("b")).scalar()
-    cut = band.getField("s") * 3
-    lower, upper = band.getField("m") - cut, band.getField("m") + cut
+    band = df.agg(F.struct(F.avg(col).alias("m"), F.stddev_pop(col).alias("s")))
+    lower, upper = F.col("_b.m") - F.col("_b.s") * 3, F.col("_b.m") + F.col("_b.s") * 3
     x = F.col(col)
-    t = df.select(
-        F.when(x < lower, 1).alias("low"), F.when(x > upper, 1).alias("high"), F.when((x > lower) & (x < upper), 1).alias("kept")
-    ).agg(F.count("low").alias("lower"), F.count("high").alias("upper"), F.count("kept").alias("kept"))
+    t = df.withColumn("_b", band.scalar()).agg(
+        F.count(F.when(x < lower, 1)).alias("lower"),
+        F.count(F.when(x > upper, 1)).alias("upper"),
+        F.count(F.when((x > lower) & (x < upper), 1)).alias("kept"),
+    )
     total = F.col("lower") + F.col("upper")
-    return t.select("lower", "upper", total.alias("total"), "kept", F.round(total / F.col("kept") * 100, 4).alias("pct"))
+    return t.select("lower", "upper", total.alias("total"), "kept", F.round(F.try_divide(total, F.col("kept")) * 100, 4).alias("pct"))
 
 
 def daily_totals(df: DataFrame, date: str, amount: str, label: str | None = None) -> DataFrame:
@@ -188,11 +189,11 @@ def ecdf(df: DataFrame, label: str, amount: str, id: str) -> DataFrame:
 def histogram(df: DataFrame, value: Column, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Rows per equal-width bin between the smallest and largest value; the last bin is closed."""
     data = df.select(*by, value.cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    ends = data.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("e")).scalar()
-    lo, hi = ends.getField("lo"), ends.getField("hi")
-    slot = F.floor((F.col("_x") - lo) / (hi - lo) * bins)
-    bin_no = F.when(hi == lo, F.lit(0)).otherwise(F.least(slot, F.lit(bins - 1)))
-    return data.groupBy(*by, bin_no.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    ends = data.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")))
+    lo, hi = F.col("_e.lo"), F.col("_e.hi")
+    slot = F.least(F.floor((F.col("_x") - lo) / (hi - lo) * bins), F.lit(bins - 1))
+    bin_no = F.when(hi == lo, F.lit(0)).otherwise(slot).cast("long")
+    return data.withColumn("_e", ends.scalar()).groupBy(*by, bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def box_stats(df: DataFrame, col: str, label: str, amount: str, cap: float | None = None) -> DataFrame:

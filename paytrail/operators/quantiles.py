@@ -4,44 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paytrail.operators.lookup import attach
-from paytrail.operators.ordinal import CHUNK_ROWS, running_total
-from paytrail.sources.scratch import pin
+from paytrail.operators.lookup import key_condition, keyed
+from paytrail.operators.ordinal import chunk_starts, with_ordinal
+
+CHUNK_VALUES = 20_000
+
+
+def _numbers(values: Sequence[float]) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
 def exact_quantiles(
-    df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), chunk_rows: int = CHUNK_VALUES
 ) -> DataFrame:
     """Rows ``(*by, q, value)``: linearly interpolated quantiles of the non-null values.
 
-    Values are counted first, so a value that fills a third of the table is one row of the sort. The counts are
-    cumulated along a range sort, and the values that cover a wanted position are kept. ``by`` is meant for a small
-    number of groups; ``approx_quantiles`` answers in one pass when the sort of the distinct values is too much.
+    Values are counted first, so a value that fills a third of the table is one row of the range sort. Chunk totals
+    tell which chunks hold a wanted position; only those chunks are read further. ``by`` is meant for a small number of
+    groups; ``approx_quantiles`` answers in one pass when the sort of the distinct values is too much.
     """
     by = list(by)
     known = df.filter(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_x"))
-    counts = pin(known.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n")), "value-counts").df
-    placed = running_total(counts, by, ["_x"], "_n", "_before", chunk_rows=chunk_rows)
+    counts = known.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    ranked, starts = chunk_starts(with_ordinal(counts, [*by, "_x"], "_rn").df, by, "_n", chunk_rows)
+    starts = starts.withColumn("_rows", F.sum("_t").over(Window.partitionBy(*by)))
 
-    spots = []
-    for q in probs:
-        at = F.lit(float(q)) * (F.col("_rows") - 1)
+    def sides(q: Column) -> Column:
+        at = q * (F.col("_rows") - 1)
         low, frac = F.floor(at), at - F.floor(at)
-        spots.append(F.struct(F.lit(float(q)).alias("q"), frac.alias("frac"), F.lit(0).alias("side"), low.alias("at")))
-        spots.append(
-            F.struct(F.lit(float(q)).alias("q"), frac.alias("frac"), F.lit(1).alias("side"), F.least(low + 1, F.col("_rows") - 1).alias("at"))
+        return F.array(
+            F.struct(q.alias("q"), frac.alias("frac"), F.lit(0).alias("side"), low.alias("at")),
+            F.struct(q.alias("q"), frac.alias("frac"), F.lit(1).alias("side"), F.least(low + 1, F.col("_rows") - 1).alias("at")),
         )
-    wanted = counts.groupBy(*by).agg(F.sum("_n").alias("_rows")).select(*by, F.array(*spots).alias("_spots"))
-    if by:
-        placed = attach(placed, wanted, by, null_match=True)
-        covered = F.col("_spots")
-    else:
-        covered = wanted.select("_spots").scalar()
-    hits = F.filter(covered, lambda s: (s["at"] >= F.col("_before")) & (s["at"] < F.col("_before") + F.col("_n")))
-    found = placed.select(*by, "_x", F.explode(hits).alias("_s")).select(*by, "_x", "_s.*")
+
+    spots = F.flatten(F.transform(_numbers(probs), sides))
+    inside = F.filter(spots, lambda s: (s["at"] >= F.col("_base")) & (s["at"] < F.col("_base") + F.col("_t")))
+    # at most two positions per group and quantile: both right sides below are that short
+    wanted = starts.withColumn("_s", F.explode(inside)).select("_chunk", *by, "_base", "_s.*")
+    on = ["_chunk", *by]
+    extras = [f"_k_{k}" for k in on]
+    read = keyed(wanted.select(*on, "_base").distinct(), on)
+    rows = ranked.join(F.broadcast(read), key_condition(on, True)).drop(*extras)
+    ahead = Window.partitionBy(*on).orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_base")
+    covers = (F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_n"))
+    found = rows.join(F.broadcast(keyed(wanted.drop("_base"), on)), key_condition(on, True) & covers).drop(*extras)
     low = F.max(F.when(F.col("side") == 0, F.col("_x")))
     high = F.max(F.when(F.col("side") == 1, F.col("_x")))
     return found.groupBy(*by, "q").agg((low + (high - low) * F.max("frac")).alias("value"))
@@ -50,6 +60,6 @@ def exact_quantiles(
 def approx_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
     """The same shape from mergeable sketches: one pass, no sort, relative rank error 1/accuracy."""
     probs = [float(q) for q in probs]
-    sketch = df.groupBy(*by).agg(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("_v"))
-    pairs = F.arrays_zip(F.array(*[F.lit(q) for q in probs]).alias("q"), F.col("_v").alias("value"))
-    return sketch.select(*by, F.explode(pairs).alias("p")).select(*by, F.col("p")["0"].alias("q"), F.col("p")["_v"].alias("value"))
+    sketch = df.groupBy(*by).agg(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("value"))
+    pairs = F.arrays_zip(_numbers(probs).alias("q"), "value")
+    return sketch.select(*by, F.inline(pairs).alias("q", "value"))

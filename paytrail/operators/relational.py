@@ -60,9 +60,9 @@ def fill_by_type(df: DataFrame, text: str = "MISS", number: float = -1.0, cols:
 
 def fill_min_minus(df: DataFrame, cols: Sequence[str], below: float = 2) -> DataFrame:
     """Missing numbers become the column minimum less ``below``."""
-    lows = df.agg(F.struct(*[F.min(c).alias(c) for c in cols]).alias("lows"))
-    low = lows.scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), low.getField(c) - F.lit(below)) for c in cols})
+    lows = df.agg(F.struct(*[F.min(c) for c in cols]))
+    filled = {c: F.coalesce(F.col(c), F.col(f"_lows.col{i + 1}") - F.lit(below)) for i, c in enumerate(cols)}
+    return df.withColumn("_lows", lows.scalar()).withColumns(filled).drop("_lows")
 
 
 def drop_constant(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
