@@ -158,7 +158,7 @@ def profile_columns(df: DataFrame, cols: Sequence[str], order: Sequence[str]) ->
     samples = firsts.groupBy("cell.column").agg(F.array_sort(F.collect_list(F.struct("_o", "cell.value"))).alias("_f"))
     names = ("first_value", "second_value", "third_value")
     samples = samples.select("column", *[F.get("_f", F.lit(i)).getField("value").alias(n) for i, n in enumerate(names)])
-    return stats.withColumn("dtype", kinds.getItem(F.col("column"))).join(F.broadcast(samples), "column")
+    return stats.withColumn("dtype", kinds[F.col("column")]).join(F.broadcast(samples), "column")
 
 
 def outliers_3sigma(df: DataFrame, col: str) -> DataFrame:

@@ -144,7 +144,7 @@ def attach_features(fact: DataFrame, key: str, tables: Iterable[DataFrame]) -> D
 def map_values(df: DataFrame, col: str, mapping: Mapping, name: str) -> DataFrame:
     """Look a value up in a literal dictionary; an absent key gives null."""
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return df.withColumn(name, F.create_map(*pairs).getItem(F.col(col)))
+    return df.withColumn(name, F.create_map(*pairs)[F.col(col)])
 
 
 def map_series(df: DataFrame, col: str, series: DataFrame, key: str, value: str, name: str) -> DataFrame:

@@ -150,3 +150,43 @@ P = f"""p AS (
 
 def rounded(col: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(col) if isinstance(col, str) else col, digits)
+
+
+def payment_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Events under the column names of the payment tables: the first twenty days are labelled."""
+    e = with_gap(events(spark, sf))
+    key, who = F.col("id"), F.col("uid")
+    wide = e.select(
+        key.alias("TransactionID"),
+        F.col("y").alias("isFraud"),
+        F.col("dt").alias("TransactionDT"),
+        F.col("amt").alias("TransactionAmt"),
+        F.col("product").alias("ProductCD"),
+        who.alias("card1"),
+        F.nullif(F.pmod(who, F.lit(100)), F.lit(0)).cast("double").alias("card2"),
+        F.pmod(who, F.lit(7)).cast("double").alias("card3"),
+        picked(BRANDS, who).alias("card4"),
+        F.pmod(who, F.lit(11)).cast("double").alias("card5"),
+        picked(["debit", "credit"], who).alias("card6"),
+        F.nullif(F.pmod(who, F.lit(25)), F.lit(0)).cast("double").alias("addr1"),
+        F.pmod(who, F.lit(3)).cast("double").alias("addr2"),
+        F.pmod(key, F.lit(10)).cast("double").alias("dist1"),
+        F.pmod(key, F.lit(5)).cast("double").alias("dist2"),
+        picked(DOMAINS, who).alias("P_emaildomain"),
+        picked(DOMAINS, key).alias("R_emaildomain"),
+        F.pmod(key, F.lit(4)).cast("double").alias("C2"),
+        F.nullif(F.pmod(key, F.lit(3)), F.lit(2)).cast("double").alias("C5"),
+        F.col("dn").cast("double").alias("D1"),
+        F.col("dn").cast("double").alias("D10"),
+        picked(FLAGS, who).alias("M1"),
+        picked(FLAGS, key).alias("M2"),
+        F.pmod(key * 13, F.lit(1000)).cast("double").alias("id_02"),
+        F.pmod(key, F.lit(2)).cast("double").alias("id_05"),
+        picked(SYSTEMS, key * 7).alias("id_30"),
+        picked(BROWSERS, key * 5 + who).alias("id_31"),
+        picked(SCREENS, key).alias("id_33"),
+        picked(DEVICE_TYPES, key).alias("DeviceType"),
+        picked(DEVICES, key * 3 + who).alias("DeviceInfo"),
+        F.col("day").alias("_day"),
+    )
+    return wide.filter("_day < 20").drop("_day"), wide.filter("_day >= 20").drop("_day", "isFraud")

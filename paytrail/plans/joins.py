@@ -11,9 +11,6 @@ from paytrail.operators.evaluate import all_bad_entities, turned_bad_entities
 from paytrail.plans.fixtures import L, P, R, T, events, payments, rounded, table, with_balance, with_gap
 from paytrail.plans.registry import query
 
-FAR = 1_000_000  # no upper bound on the gap
-
-
 @query(
     "join_identity",
     "SELECT o_orderkey, o_totalprice, c_mktsegment, c_acctbal FROM orders "
@@ -170,7 +167,7 @@ _OUT = "round(coalesce(s / CAST(c AS DOUBLE), 0), 6) AS mean_, CAST(coalesce(s,
 
 
 def _encode(spark, sf, **kw):
-    base = dict(id="id", entity="uid", day="day", gap="dn", measure="y", gap_range=(1, FAR))
+    base = dict(id="id", entity="uid", day="day", gap="dn", measure="y", gap_range=(1, None))
     out = lb.lookback_encode(with_gap(events(spark, sf)), **{**base, **kw})
     return out.withColumn("mean_", rounded("mean_"))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from paytrail.operators import embed, folds, groups, model, reduce, sequences
 from paytrail.operators.relational import fill_by_type
-from paytrail.plans.fixtures import events, payments, table
+from paytrail.plans import score_flow
+from paytrail.plans.fixtures import events, payment_parts, payments, table
 from paytrail.plans.registry import query
 
 _CARDS = ["card1", "card2", "addr1"]
@@ -107,3 +108,19 @@ def _(spark, sf):
     m = _matrix(spark, sf)
     drop = {"day": ["curday_amt_cnt", "curday_amt_mean"], "previous": ["uid_dt_diff_time1", "uid_v_diff_time1"]}
     return model.ablation(m, id="id", label="y", features=_FEATURES, groups=drop, fold="fold", first=1, params=_SMALL)
+
+
+_DAYS = dict(first_day=2, last_day=19, smallest_gap=1)
+
+
+@query("feature_matrix")
+def _(spark, sf):
+    train, test = payment_parts(spark, sf)
+    return score_flow.build_matrix(train, test, **_DAYS)
+
+
+@query("score_flow")
+def _(spark, sf):
+    train, test = payment_parts(spark, sf)
+    scores, _ = score_flow.score(score_flow.build_matrix(train, test, **_DAYS), first=1, params=_SMALL)
+    return scores

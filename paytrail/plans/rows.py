@@ -147,7 +147,7 @@ def _(spark, sf):
     small = rel.narrow_schema(li)
     totals = small.agg(*[F.sum(c).cast("long").alias(c) for c in _NARROW]).unpivot([], _NARROW, "column", "total")
     names = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
-    return totals.select("column", names.getItem(F.col("column")).alias("kind"), "total")
+    return totals.select("column", names[F.col("column")].alias("kind"), "total")
 
 
 @query("drop_constant", "SELECT o_orderkey, o_orderstatus FROM orders")
