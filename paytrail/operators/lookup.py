@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from paytrail.sources.scratch import Pinned, pin
@@ -18,19 +18,23 @@ HOT_ROWS = 2_000_000
 HOT_KEYS = 10_000
 
 
-def hot_limit(total_rows: int, hot_rows: int) -> int:
-    """Rows above which a key is hot. At most ``HOT_KEYS`` keys can exceed a 1/``HOT_KEYS`` share of all rows."""
-    return max(hot_rows, total_rows // HOT_KEYS)
+def _hot(counts: DataFrame, hot_rows: int) -> tuple[Pinned, int]:
+    """Rows of a count table ``(keys, _w)`` above the hot limit, and that limit.
+
+    The limit is ``hot_rows`` or a 1/``HOT_KEYS`` share of all rows, whichever is larger, so there are never more than
+    ``HOT_KEYS`` hot keys. Ordinary keys are counted on the way and not written.
+    """
+    seen = Observation()
+    some = pin(counts.observe(seen, F.sum("_w").alias("total")).filter(F.col("_w") > hot_rows), "hot-keys")
+    limit = max(hot_rows, int(seen.get["total"] or 0) // HOT_KEYS)
+    if some.rows == 0 or limit == hot_rows:
+        return some, limit
+    return pin(some.df.filter(F.col("_w") > limit), "hot-keys"), limit
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Pinned:
-    """Keys with more than ``hot_rows`` rows and their count ``_w``; never more than ``HOT_KEYS`` rows."""
-    counts = pin(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w")), "key-counts", total=F.sum("_w"), top=F.max("_w"))
-    limit = hot_limit(int(counts.extra["total"] or 0), hot_rows)
-    if int(counts.extra["top"] or 0) <= limit:
-        return Pinned(counts.df.limit(0), 0, 0, {"limit": limit})
-    hot = pin(counts.df.filter(F.col("_w") > limit), "hot-keys")
-    return Pinned(hot.df, hot.rows, hot.bytes, {"limit": limit})
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[Pinned, int]:
+    """Keys that hold more rows than the hot limit with their count ``_w``, and the limit."""
+    return _hot(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w")), hot_rows)
 
 
 def _matches(left: str, right: str, null_match: bool) -> Column:
@@ -76,12 +80,9 @@ def attach(
         return fact.join(F.broadcast(right), key_condition(keys, null_match), how).drop(*extras)
 
     if weight:
-        total = pinned.df.agg(F.sum(weight)).first()[0] or 0
-        limit = hot_limit(int(total), hot_rows)
-        hot = pin(pinned.df.filter(F.col(weight) > limit).select(*keys, F.col(weight).alias("_w")), "hot-keys")
+        hot, limit = _hot(pinned.df.select(*keys, F.col(weight).alias("_w")), hot_rows)
     else:
-        hot = hot_keys(fact, keys, hot_rows)
-        limit = hot.extra["limit"]
+        hot, limit = hot_keys(fact, keys, hot_rows)
     if hot.rows == 0:
         return fact.join(right, key_condition(keys, null_match), how).drop(*extras)
 

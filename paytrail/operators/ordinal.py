@@ -96,7 +96,7 @@ def over_timeline(
     edge rows, so their rows are spread over tasks and the result is the same. ``order`` must be unique within a key.
     """
     plain = Window.partitionBy(key).orderBy(*order)
-    hot = hot_keys(df, [key], hot_rows)
+    hot, _ = hot_keys(df, [key], hot_rows)
     if hot.rows == 0:
         return df.select("*", *build(plain))
     cold_rows, heavy_rows = split_hot(df, [key], hot.df)

@@ -153,10 +153,9 @@ def map_series(df: DataFrame, col: str, series: DataFrame, key: str, value: str,
     return attach(df, table, col)
 
 
-def semi(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
+def semi(df: DataFrame, members: DataFrame, key: str, **limits: int) -> DataFrame:
     """Rows whose entity is in ``members``."""
-    table = pin(members.select(key).distinct(), "members").df
-    return df.join(table, key, "left_semi")
+    return attach(df, members.select(key).distinct(), key, how="left_semi", **limits)
 
 
 def override_scores(scores: DataFrame, members: DataFrame, key: str, value: float, score: str = "score") -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from paytrail.operators import encode, evaluate, groups, lookback, ordinal, profile, quantiles, sequences
+from paytrail.operators import encode, evaluate, groups, lookback, lookup, ordinal, profile, quantiles, sequences
 from paytrail.operators.lookup import attach, hot_keys
 
 TINY = dict(broadcast_bytes=0, hot_rows=20)
@@ -35,9 +35,15 @@ def same(a, b):
 
 
 def test_hot_keys_are_bounded_and_counted(rows):
-    hot = hot_keys(rows, ["uid"], 100)
-    assert [(r["uid"], r["_w"]) for r in hot.df.collect()] == [(0, 300)]
-    assert hot_keys(rows, ["uid"], 1000).rows == 0
+    hot, limit = hot_keys(rows, ["uid"], 100)
+    assert limit == 100 and [(r["uid"], r["_w"]) for r in hot.df.collect()] == [(0, 300)]
+    assert hot_keys(rows, ["uid"], 1000)[0].rows == 0
+
+
+def test_the_hot_list_stays_short_on_large_tables(rows, monkeypatch):
+    monkeypatch.setattr(lookup, "HOT_KEYS", 4)
+    hot, limit = hot_keys(rows, ["uid"], 1)
+    assert limit == 150 and [r["uid"] for r in hot.df.collect()] == [0]
 
 
 @pytest.mark.parametrize("null_match", [False, True])
