@@ -15,8 +15,8 @@ from paytrail.operators.quantiles import exact_quantiles
 from paytrail.sources.scratch import Pinned, payload_width, pin
 
 
-def label_dictionary(df: DataFrame, cols: Sequence[str], missing: str = MISSING) -> DataFrame:
-    """Rows ``(column, value, code, rows)``: the rank of each distinct printed value of a column, from 0.
+def label_dictionaries(df: DataFrame, cols: Sequence[str], missing: str = MISSING) -> dict[str, Pinned]:
+    """Per column the rows ``(value, code, rows)``: the rank of each distinct printed value, from 0.
 
     All columns share one scan, one aggregation and one range sort of the distinct values.
     """
@@ -27,10 +27,13 @@ def label_dictionary(df: DataFrame, cols: Sequence[str], missing: str = MISSING)
         df.select(F.explode(cells).alias("cell")).groupBy("cell.column", "cell.value").agg(F.count(F.lit(1)).alias("rows"))
     )
     ranked = with_ordinal(distinct, ["column", "value"], "_rn").df
-    starts = ranked.groupBy("column").agg(F.min("_rn").alias("_start"))  # one row per encoded column
-    return ranked.join(F.broadcast(starts), "column").select(
-        "column", "value", (F.col("_rn") - F.col("_start")).alias("code"), "rows"
-    )
+    width = sum((payload_width(f) for f in distinct.schema.fields), F.lit(0))
+    spans = ranked.groupBy("column").agg(F.min("_rn").alias("start"), F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes"))
+    out = {}
+    for r in spans.collect():  # one row per encoded column
+        part = ranked.filter(F.col("column") == r["column"]).select("value", (F.col("_rn") - r["start"]).alias("code"), "rows")
+        out[r["column"]] = Pinned(part, r["n"], r["bytes"], {})
+    return out
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], *, suffix: str = "", missing: str = MISSING, **limits: int) -> DataFrame:
@@ -39,17 +42,16 @@ def label_encode(df: DataFrame, cols: Sequence[str], *, suffix: str = "", missin
     Pass the union of the splits, so that every split is coded by the same dictionary. The dictionary is a table and
     never reaches the driver.
     """
-    whole = pin(label_dictionary(df, cols, missing), "labels").df
-    width = sum((payload_width(f) for f in whole.schema.fields), F.lit(0))
-    sizes = {r["column"]: r for r in whole.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).collect()}
+    tables = label_dictionaries(df, cols, missing)
     for c in cols:
+        if c not in tables:  # an empty frame has no values to code
+            df = df.withColumn(f"{c}{suffix}", F.lit(None).cast("long"))
+            continue
         key = f"_text_{c}"
-        part = whole.filter(F.col("column") == c).select(
-            F.col("value").alias(key), F.col("code").alias(f"_code_{c}"), F.col("rows").alias("_w")
-        )
-        size = sizes.get(c)
-        table = Pinned(part, size["n"] if size else 0, size["b"] if size else 0, {})
-        df = attach(df.withColumn(key, F.coalesce(text(df, c), F.lit(missing))), table, key, weight="_w", **limits)
+        table = tables[c]
+        named = table.df.select(F.col("value").alias(key), F.col("code").alias(f"_code_{c}"), F.col("rows").alias("_w"))
+        df = df.withColumn(key, F.coalesce(text(df, c), F.lit(missing)))
+        df = attach(df, Pinned(named, table.rows, table.bytes, {}), key, weight="_w", **limits)
         df = df.withColumn(f"{c}{suffix}", F.col(f"_code_{c}")).drop(key, f"_code_{c}", "_w")
     return df
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -37,17 +38,13 @@ def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "rn")
         "ordered",
     )
     part = F.shiftright("_at", _LOCAL_BITS)
-    sizes = placed.df.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per range partition, so this unpartitioned window stays small whatever the data size
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # one number per range partition: their running sum is metadata of the shuffle, whatever the data size
+    sizes = placed.df.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect()
+    counts = {r["_part"]: r["_n"] for r in sizes}
+    before = list(accumulate((counts.get(i, 0) for i in range(max(counts, default=0) + 1)), initial=0))
+    offsets = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")  # folds to one literal
     local = F.col("_at").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    ranked = (
-        placed.df.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_off") + local + 1)
-        .drop("_part", "_off", "_at")
-    )
+    ranked = placed.df.withColumn(name, F.get(offsets, part.cast("int")) + local + 1).drop("_at")
     return Ranked(ranked, placed.rows)
 
 

@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def picked(values: Sequence[str | None], code: Column) -> Column:
-    items = F.array(*[F.lit(v).cast("string") for v in values])
+    items = F.expr("array(" + ", ".join("null" if v is None else f"'{v}'" for v in values) + ")")
     return F.get(items, F.pmod(code, F.lit(len(values))).cast("int"))
 
 

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # ~430 input columns plus ~250 features pass through single projections
     "spark.sql.codegen.maxFields": "2000",
+    # hundreds of column expressions per query: skip the call-site capture of each one
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
