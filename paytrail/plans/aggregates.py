@@ -251,7 +251,7 @@ _FOLDED = "scored AS (SELECT ntile(5) OVER (ORDER BY dt, id) AS f, y, round(amt,
 
 @query("auc_by_fold", f"WITH {T}, {_FOLDED}, m AS ({_AUC}) SELECT f AS fold, round(auc, 9) AS auc FROM m")
 def _(spark, sf):
-    return ev.auc(_folded(spark, sf), "y", "score", ["fold"]).select("fold", rounded("auc", 9).alias("auc"))
+    return ev.auc(_folded(spark, sf), "y", "score", ["fold"]).select(F.col("fold").cast("long").alias("fold"), rounded("auc", 9).alias("auc"))
 
 
 @query("auc_mean", f"WITH {T}, {_FOLDED}, m AS ({_AUC}) SELECT round(avg(auc), 9) AS mean_auc, count(*) AS folds FROM m")

@@ -50,8 +50,20 @@ def duck_rows(con, sql):
     return _rows(names, cur.fetchall())
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def type_diff(df, con, sql) -> str | None:
+    want = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    bad = {c: (t, want.get(c)) for c, t in df.dtypes if TYPES.get(t, t) != want.get(c)}
+    return f"types {bad}" if bad else None
+
+
 def diff(df, con, sql) -> str | None:
     """None when equal, else a short description."""
+    bad = type_diff(df, con, sql)
+    if bad:
+        return bad
     names, got = spark_rows(df)
     want_names, want = duck_rows(con, sql)
     if names != want_names:

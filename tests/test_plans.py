@@ -67,3 +67,29 @@ def test_balances_are_cut_before_the_shuffle(spark):
         lookback.pin = original
     limits = re.findall(r"WindowGroupLimit .*(Partial|Final)", captured[0])
     assert sorted(limits) == ["Final", "Partial"]
+
+
+def test_bucketed_features_join_without_a_shuffle(spark, tmp_path):
+    from paytrail.operators.relational import attach_features
+    from paytrail.sources.sinks import write_features
+
+    for name in ("facts", "f1", "f2"):
+        df = spark.range(100).withColumn(name, spark_id_times_two())
+        write_features(df, str(tmp_path / name), "id", buckets=4, table=f"bucketed_{name}")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = [spark.table(f"bucketed_{n}") for n in ("f1", "f2")]
+        joined = attach_features(spark.table("bucketed_facts"), "id", tables)
+        assert joined.count() == 100
+        assert "Exchange" not in plan_of(joined)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("facts", "f1", "f2"):
+            spark.sql(f"DROP TABLE bucketed_{name}")
+
+
+def spark_id_times_two():
+    from pyspark.sql import functions as F
+
+    return F.col("id") * 2
