@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from paytrail.functions import amounts, keys, strings, times
 from paytrail.operators import embed, encode, folds, groups, lookback, model, reduce, sequences
 from paytrail.operators import relational as rel
+from paytrail.operators.evaluate import auc
 from paytrail.sources.scratch import pin
 
 ID, TIME, AMOUNT, LABEL, SPLIT = "TransactionID", "TransactionDT", "TransactionAmt", "isFraud", "split"
@@ -257,8 +258,6 @@ def score(
     matrix: DataFrame, *, k: int = 5, first: int = 3, params: Mapping | None = None, drop: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Scores of the unlabelled rows (mean of the first folds) and the AUC of each fold."""
-    from paytrail.operators.evaluate import auc
-
     ready = pin(matrix, "matrix").df
     features = [c for c in ready.columns if c not in (ID, LABEL, SPLIT, *drop)]
     train = folds.kfold_contiguous(rel.take_split(ready, "train", SPLIT), [TIME, ID], k)
@@ -266,3 +265,17 @@ def score(
     _, valid, scored = model.cross_fit(train, test, id=ID, label=LABEL, features=features, first=first, params=params)
     scores = model.blend(scored, ID, first).withColumnRenamed("score", LABEL)
     return scores, auc(valid, LABEL, "score", ["fold"])
+
+
+def offline_experiment(
+    labelled: DataFrame, *, first: int = 4, params: Mapping | None = None, drop: Sequence[str] = (), **matrix_args
+) -> tuple[DataFrame, DataFrame]:
+    """Train on the early half, score the rest: AUC of the two later parts, and of the folds.
+
+    This is how a feature set is judged before it is used: fold AUC alone does not show the overfit of label features.
+    """
+    parts = pin(folds.holdout_split(labelled, [ID]), "holdout").df
+    early, late = parts.filter("part = 'train'").drop("part"), parts.filter("part <> 'train'")
+    scores, fold_auc = score(build_matrix(early, late.drop("part", LABEL), **matrix_args), first=first, params=params, drop=drop)
+    judged = late.select(ID, "part", F.col(LABEL).alias("truth")).join(scores.withColumnRenamed(LABEL, "score"), ID, "left")
+    return auc(judged, "truth", "score", ["part"]), fold_auc
