@@ -304,13 +304,11 @@ def _(spark, sf):
 
 @query(
     "gap_slope",
-    f"WITH {P} SELECT id, round((d1 - 480) / nullif(dt // 86400, 0), 6) AS d1_slope, round((d1 - 400) / nullif(dt // 86400, 0), 6) AS d1_slope400 FROM p",
+    f"WITH {P} SELECT id, (d1 - 480) / nullif(dt // 86400, 0) AS d1_slope, (d1 - 400) / nullif(dt // 86400, 0) AS d1_slope400 FROM p",
 )
 def _(spark, sf):
     d1, dt = F.col("d1"), F.col("dt")
-    return payments(spark, sf).select(
-        "id", rounded(times.gap_slope(d1, dt)).alias("d1_slope"), rounded(times.gap_slope(d1, dt, 400)).alias("d1_slope400")
-    )
+    return payments(spark, sf).select("id", times.gap_slope(d1, dt).alias("d1_slope"), times.gap_slope(d1, dt, 400).alias("d1_slope400"))
 
 
 @query("gap_delta", f"WITH {P} SELECT id, (dt // 86400) + 480 - d1 AS d1_delta, (dt // 86400) + 200 - d1 AS d1_delta200 FROM p")
@@ -323,8 +321,8 @@ def _(spark, sf):
     "gap_rate",
     f"WITH {P}, m AS (SELECT min(dt // 86400) AS low FROM p) SELECT id, d1 - 90 AS d1_shifted, "
     "coalesce(CAST((dt // 86400) + 480 - d1 >= 0 AS BIGINT), 0) AS d1_sign, "
-    "round(d1 / nullif((dt // 86400) + 480, 0), 6) AS d1_rate, "
-    "round((d1 - 480) / nullif((dt // 86400) - low, 0), 6) AS d1_slope_shifted FROM p, m",
+    "d1 / nullif((dt // 86400) + 480, 0) AS d1_rate, "
+    "(d1 - 480) / nullif((dt // 86400) - low, 0) AS d1_slope_shifted FROM p, m",
 )
 def _(spark, sf):
     p = payments(spark, sf)
@@ -334,21 +332,20 @@ def _(spark, sf):
         "id",
         times.shift_gap(d1, 90).alias("d1_shifted"),
         times.delta_sign(times.gap_delta(d1, dt)).cast("long").alias("d1_sign"),
-        rounded(times.gap_rate(d1, dt)).alias("d1_rate"),
-        rounded(times.gap_slope(d1, dt, day_shift=low)).alias("d1_slope_shifted"),
+        times.gap_rate(d1, dt).alias("d1_rate"),
+        times.gap_slope(d1, dt, day_shift=low).alias("d1_slope_shifted"),
     )
 
 
 @query(
     "pair_arith",
     f"WITH {P} SELECT id, dist1 + dist2 AS dist1_plus_dist2, dist1 - dist2 AS dist1_minus_dist2, dist1 * dist2 AS dist1_times_dist2, "
-    "round(dist1 / nullif(dist2, 0), 6) AS dist1_divides_dist2, round(amt * dist1, 2) AS amt_mul_dist1, "
+    "dist1 / nullif(dist2, 0) AS dist1_divides_dist2, round(amt * dist1, 2) AS amt_mul_dist1, "
     "round(amt * 24 * 60 * 60 / nullif(dt, 0), 4) AS amt_per_dt FROM p",
 )
 def _(spark, sf):
     a, b = F.col("dist1"), F.col("dist2")
     four = amounts.pair_arith(a, b, "dist1", "dist2")
-    four["dist1_divides_dist2"] = rounded(four["dist1_divides_dist2"])
     return payments(spark, sf).select(
         "id",
         *[c.alias(n) for n, c in four.items()],

@@ -7,6 +7,7 @@ import decimal
 import glob
 import math
 import os
+import re
 
 import duckdb
 
@@ -74,3 +75,21 @@ def diff(df, con, sql) -> str | None:
         bad = [(a, b) for a, b in zip(got, want) if repr(a) != repr(b)]
         return f"{len(bad)} rows differ, e.g. {bad[:2]}"
     return None
+
+
+BOUNDED = re.compile(r"(_part|_chunk|_bin)#")  # one row per range partition, chunk or bin
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_faults(plan: str) -> list[str]:
+    """Nested loops, Python row work and single-task windows over rows."""
+    bad = [n for n in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas") if n in plan]
+    for first in re.findall(r"windowspecdefinition\(([^,]*),?", plan):
+        # a definition that starts with its ordering or frame has no partition columns
+        ordered = " ASC" in first or " DESC" in first
+        if ordered and not BOUNDED.match(first) or first.startswith("specifiedwindowframe") and "sum(_t#" not in plan:
+            bad.append(first)
+    return bad

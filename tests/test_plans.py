@@ -1,44 +1,13 @@
-"""The plans hold no nested loop, no Python row work and no single-task window over rows."""
+"""Pushdown, pruning, limits before the shuffle and joins without one. The plan of every query: test_oracles.py."""
 
 import os
 import re
 
-import pytest
-from pyspark.sql import DataFrameWriter
 
 import __spark_entry__ as entry
+from oracle import plan_of
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-LEARNED = {"pca_cards", "pca_scaled", "token_embed", "gbt_scores", "gbt_refit", "gbt_importance", "random_search", "ablation", "score_flow"}
-BOUNDED = re.compile(r"(_part|_chunk|_bin)#")  # one row per range partition, chunk or bin
-
-
-def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - LEARNED))
-def test_plan(spark, name, monkeypatch):
-    plans = []
-    write = DataFrameWriter.parquet
-
-    def recorded(self, *args, **kw):
-        plans.append(plan_of(self._df))
-        return write(self, *args, **kw)
-
-    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)  # the plans of pinned tables count as well
-    plans.append(plan_of(entry.queries()[name](spark, SF)))
-    plan = "\n".join(plans)
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
-        assert bad not in plan, bad
-    for first in re.findall(r"windowspecdefinition\(([^,]*),?", plan):
-        # a definition that starts with its ordering or frame has no partition columns
-        if " ASC" in first or " DESC" in first:
-            assert BOUNDED.match(first), first
-        elif first.startswith("specifiedwindowframe"):
-            assert "sum(_t#" in plan  # total over the chunk table
-
-
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(entry.queries()["filter_cmp"](spark, SF))
     assert "PushedFilters: [IsNotNull(o_totalprice), LessThanOrEqual(o_totalprice,100000.0)]" in plan
