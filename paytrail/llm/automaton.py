@@ -211,7 +211,7 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id: str = "
 
 def united(spans: Column) -> Column:
     """Flat spans sorted, and united where they overlap or touch."""
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(spans) / 2 - 1), lambda i: F.struct(F.get(spans, (2 * i).cast("int")).alias("a"), F.get(spans, (2 * i + 1).cast("int")).alias("b"))))
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), (F.size(spans) / 2).cast("int") - 1), lambda i: F.struct(F.get(spans, 2 * i).alias("a"), F.get(spans, 2 * i + 1).alias("b"))))
 
     def add(done: Column, x: Column) -> Column:
         last = F.element_at(done, -1)
