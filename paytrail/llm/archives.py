@@ -136,7 +136,7 @@ def arc_records(stream: io.BufferedIOBase, file: str) -> Iterator[Record]:
         if len(fields) != (5 if version == 1 else 10):
             raise ValueError(f"{file}: the header at byte {at} isn't of version {version}")
         uri, ip, date, kind = fields[:4]
-        http = _http(block) if uri.lower().startswith(("http:", "https:", "unknown:")) else None
+        http = _http(block)
         headers, payload = http or ({}, block)
         yield Record(
             f"<urn:uuid:{uuid.uuid5(_SPACE, f'{file}#{at}')}>",
