@@ -12,10 +12,19 @@ MISSING = "nan"
 
 
 def number_text(x: Column) -> Column:
-    """Decimal text of a double without exponent: ``150.0``, ``0.25``, ``12345678.5``."""
+    """Decimal text of a double without exponent: ``150.0``, ``0.25``, ``12345678.5``.
+
+    Where the shortest form has an exponent, the point is moved in its digits; no digit is lost, so different values have different texts.
+    """
     plain = x.cast("string")
-    wide = F.regexp_replace(x.cast("decimal(38,12)").cast("string"), r"(\.\d+?)0+$", "$1")
-    return F.when(plain.contains("E"), wide).otherwise(plain)
+    mantissa, power = F.substring_index(plain, "E", 1), F.substring_index(plain, "E", -1).try_cast("int")
+    sign = F.when(plain.startswith("-"), "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_replace(mantissa, r"^-|\.0$", ""), r"\.", "")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    whole = F.rpad(digits, F.greatest(power + 1, F.length(digits)), "0")
+    tail = F.substring(whole, power + 2, F.length(whole))
+    large = F.concat(F.substring(whole, F.lit(1), power + 1), F.lit("."), F.when(tail == "", "0").otherwise(tail))
+    return F.when(plain.contains("E"), F.concat(sign, F.when(power < 0, small).otherwise(large))).otherwise(plain)
 
 
 def text(df: DataFrame, name: str) -> Column:

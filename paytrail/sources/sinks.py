@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
+from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paytrail.operators.embed import corpus_lines
+from paytrail.operators.evaluate import mean_importance
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -30,13 +34,34 @@ def write_features(df: DataFrame, path: str, id: str, buckets: int | None = None
         df.write.mode("overwrite").parquet(path)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has ended well: the committer's mark is there."""
+    try:
+        spark.read.format("binaryFile").load(f"{path.rstrip('/')}/_SUCCESS").limit(1).collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return False
+    return True
+
+
+def write_model(model: MLWritable, path: str) -> None:
+    """A fitted learner, pipeline or token model, to be read back with ``read_model``."""
+    model.write().overwrite().save(path)
+
+
+def read_model(kind: type, path: str):
+    return kind.load(path)
+
+
+def write_importances(df: DataFrame, path: str) -> None:
+    """Mean importance of each feature over the folds, highest first, as CSV."""
+    write_csv(mean_importance(df).orderBy(F.desc("average"), "feature").coalesce(1), path)
+
+
 def build_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
-    """Feature checkpoint: build and save when asked to (or when absent), else read back."""
-    if not rebuild:
-        try:
-            return spark.read.parquet(path)
-        except Exception as e:  # only a missing path leads to a build
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+    """Feature checkpoint: build and save when asked to (or when absent or unfinished), else read back."""
+    if not rebuild and finished(spark, path):
+        return spark.read.parquet(path)
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

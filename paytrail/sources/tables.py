@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,8 +66,22 @@ def read_csv(
     return df if first is None else df.orderBy(F.col(order or schema.fieldNames()[0])).limit(first)
 
 
-def read_parquet(spark: SparkSession, path: str, cols: Sequence[str] | None = None) -> DataFrame:
-    df = nan_to_null(spark.read.parquet(path))
+_COMPARE = {"=": operator.eq, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+
+
+def compares(where: Sequence[tuple[str, str, object]]) -> Column | None:
+    """All of ``(column, one of = < <= > >= in, value)`` as a condition."""
+    parts = [F.col(c).isin(*v) if op == "in" else _COMPARE[op](F.col(c), v) for c, op, v in where]
+    return reduce(operator.and_, parts) if parts else None
+
+
+def read_parquet(spark: SparkSession, path: str, cols: Sequence[str] | None = None, where: Sequence[tuple[str, str, object]] = ()) -> DataFrame:
+    """A Parquet table with NaN as null. ``where`` compares columns with values and is pushed into the scan.
+
+    The scan compares the stored values, for which NaN is the largest; what it lets through is compared again after NaN became null.
+    """
+    df, cond = spark.read.parquet(path), compares(where)
+    df = nan_to_null(df) if cond is None else nan_to_null(df.filter(cond)).filter(cond)
     return df.select(*cols) if cols else df
 
 
