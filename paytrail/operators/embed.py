@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,20 +25,35 @@ def corpus_lines(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.concat_ws(" ", sentence(df, cols)).alias("value"))
 
 
-def train_tokens(
-    df: DataFrame, tokens: str, *, size: int = 50, window: int = 10, min_count: int = 1, epochs: int = 1, partitions: int = 1, seed: int = 13
-) -> Word2VecModel:
-    """Token vectors by skip-gram over the row sentences."""
-    learner = Word2Vec(
-        vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, numPartitions=partitions, seed=seed,
-        inputCol=tokens, outputCol="_sentence_vector",
-    )
-    return learner.fit(df.select(tokens))
+MOST_COMPONENTS = 64  # hexadecimal digits of the hash that a token's random direction is read from
+
+
+def token_directions(tokens: Column, size: int) -> Column:
+    """Random directions of an array of tokens: ``size`` odd whole numbers from -15 to 15 each, read from the digits of the token's SHA-256 hash."""
+    hashes = F.transform(tokens, lambda t: F.sha2(t.cast("binary"), 256))
+    places = F.sequence(F.lit(1), F.lit(size))
+    return F.transform(hashes, lambda h: F.transform(places, lambda i: F.conv(h.substr(i, F.lit(1)), 16, 10).cast("long") * 2 - 15))
 
 
-def token_vectors(model: Word2VecModel) -> DataFrame:
-    """Rows ``(word, vector)`` with the vector as an array."""
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+def train_tokens(df: DataFrame, tokens: str, *, size: int = 50, min_count: int = 1) -> DataFrame:
+    """Rows ``(word, vector)``: co-occurrence counts of a token with all other tokens of its sentences, projected on ``size`` random directions.
+
+    A token's row of the count matrix times the directions is the sum, over its sentences, of the directions of the other tokens there. So
+    a sentence adds up its directions once, each token takes that sum less its own part, and tokens are aggregated on the map side:
+    work and shuffle grow with the number of tokens, no pair of tokens and no vocabulary is ever held in one place. Vectors are means
+    over the pairs, scaled to -1..1. Tokens seen fewer than ``min_count`` times, or never beside another, have no row.
+    """
+    if not 0 < size <= MOST_COMPONENTS:
+        raise ValueError(f"vectors have 1 to {MOST_COMPONENTS} components")
+    rows = df.select(F.filter(tokens, lambda t: t.isNotNull()).alias("_t")).filter(F.size("_t") > 1)
+    directed = rows.select("_t", token_directions(F.col("_t"), size).alias("_d"))
+    total = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate("_d", F.lit(0).cast("long"), lambda s, d: s + F.get(d, i)))
+    each = directed.select(F.size("_t").alias("_n"), total.alias("_s"), F.explode(F.arrays_zip("_t", "_d")).alias("_x"))
+    sums = each.groupBy(F.col("_x._t").alias("word")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum(F.col("_n") - 1).alias("_pairs"), *[F.sum(F.col("_s")[i] - F.col("_x._d")[i]).alias(f"_v{i}") for i in range(size)]
+    )
+    vector = F.array(*[F.col(f"_v{i}").cast("double") / (F.col("_pairs") * 15) for i in range(size)])
+    return sums.filter(F.col("_rows") >= min_count).select("word", vector.alias("vector"))
 
 
 def expand_vector(df: DataFrame, vector: str, size: int, prefix: str) -> DataFrame:
