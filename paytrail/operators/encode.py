@@ -4,65 +4,70 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
+from pyspark.ml.feature import Bucketizer, OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paytrail.functions.keys import MISSING, text
-from paytrail.operators.lookup import attach
+from paytrail.operators.lookup import attach, lookup_cells
 from paytrail.operators.ordinal import with_ordinal
 from paytrail.operators.quantiles import exact_quantiles
 from paytrail.sources.scratch import Pinned, payload_width, pin
 
 
-def label_dictionaries(df: DataFrame, cols: Sequence[str], missing: str = MISSING) -> dict[str, Pinned]:
-    """Per column the rows ``(value, code, rows)``: the rank of each distinct printed value, from 0.
+def label_dictionary(df: DataFrame, cols: Sequence[str], missing: str = MISSING) -> Pinned:
+    """Rows ``(_column, _value, code, _w)``: the rank of each distinct printed value among those of its column, from 0, and its number of rows.
 
     All columns share one scan, one aggregation and one range sort of the distinct values.
     """
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.coalesce(text(df, c), F.lit(missing)).alias("value")) for c in cols]
-    )
-    distinct = (
-        df.select(F.explode(cells).alias("cell")).groupBy("cell.column", "cell.value").agg(F.count(F.lit(1)).alias("rows"))
-    )
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), printed(df, c, missing).alias("value")) for c in cols])
+    distinct = df.select(F.explode(cells).alias("cell")).groupBy("cell.column", "cell.value").agg(F.count(F.lit(1)).alias("rows"))
     ranked = with_ordinal(distinct, ["column", "value"], "_rn").df
     width = sum((payload_width(f) for f in distinct.schema.fields), F.lit(0))
     spans = ranked.groupBy("column").agg(F.min("_rn").alias("start"), F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes"))
-    out = {}
-    for r in spans.collect():  # one row per encoded column
-        part = ranked.filter(F.col("column") == r["column"]).select("value", (F.col("_rn") - r["start"]).alias("code"), "rows")
-        out[r["column"]] = Pinned(part, r["n"], r["bytes"], {})
-    return out
+    found = spans.collect()  # one row per encoded column
+    start = F.lit(1)
+    for r in found:
+        start = F.when(F.col("column") == r["column"], F.lit(r["start"])).otherwise(start)
+    table = ranked.select(F.col("column").alias("_column"), F.col("value").alias("_value"), (F.col("_rn") - start).alias("code"), F.col("rows").alias("_w"))
+    return Pinned(table, sum(r["n"] for r in found), sum(r["bytes"] for r in found), {})
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], *, suffix: str = "", missing: str = MISSING, **limits: int) -> DataFrame:
+def printed(df: DataFrame, col: str, missing: str = MISSING) -> Column:
+    return F.coalesce(text(df, col), F.lit(missing))
+
+
+def label_encode(
+    df: DataFrame, cols: Sequence[str], *, suffix: str = "", missing: str = MISSING, spread: Sequence[str] | None = None, unique: Sequence[str] | None = None, **limits: int
+) -> DataFrame:
     """Replace (or add with a suffix) each column by the rank of its printed value over all rows of ``df``.
 
     Pass the union of the splits, so that every split is coded by the same dictionary. The dictionary is a table and
-    never reaches the driver.
+    never reaches the driver. ``unique`` names columns that tell all rows apart: with them a dictionary that is too large for a
+    broadcast is joined once for all columns; without, once for each.
     """
-    tables = label_dictionaries(df, cols, missing)
+    table = label_dictionary(df, cols, missing)
+    if unique:
+        out = lookup_cells(df, {c: printed(df, c, missing) for c in cols}, table, ["code"], unique, **limits)
+        return out.withColumns({f"{c}{suffix}": F.col(f"`code_{c}`") for c in cols}).drop(*[f"code_{c}" for c in cols])
     for c in cols:
-        if c not in tables:  # an empty frame has no values to code
-            df = df.withColumn(f"{c}{suffix}", F.lit(None).cast("long"))
-            continue
         key = f"_text_{c}"
-        table = tables[c]
-        named = table.df.select(F.col("value").alias(key), F.col("code").alias(f"_code_{c}"), F.col("rows").alias("_w"))
-        df = df.withColumn(key, F.coalesce(text(df, c), F.lit(missing)))
-        df = attach(df, Pinned(named, table.rows, table.bytes, {}), key, weight="_w", **limits)
+        named = table.df.filter(F.col("_column") == c).select(F.col("_value").alias(key), F.col("code").alias(f"_code_{c}"), "_w")
+        df = df.withColumn(key, printed(df, c, missing))
+        df = attach(df, Pinned(named, table.rows, table.bytes, {}), key, weight="_w", spread=spread, **limits)
         df = df.withColumn(f"{c}{suffix}", F.col(f"_code_{c}")).drop(key, f"_code_{c}", "_w")
     return df
 
 
-def category_codes(df: DataFrame, cols: Sequence[str], text_missing: str = "MISS", number_missing: float = -1.0) -> DataFrame:
+def category_codes(
+    df: DataFrame, cols: Sequence[str], text_missing: str = "MISS", number_missing: float = -1.0, unique: Sequence[str] | None = None
+) -> DataFrame:
     """Missing values become a category of their own; each column is coded in the order of its values."""
     from paytrail.operators.relational import columns_of_type, fill_by_type
 
     filled = fill_by_type(df, text_missing, number_missing, cols)
     strings = [c for c in cols if c in columns_of_type(df, "string")]
-    out = label_encode(filled, strings) if strings else filled
+    out = label_encode(filled, strings, unique=unique) if strings else filled
     for c in cols:
         if c not in strings:
             out = dense_codes(out, c, c)
@@ -77,24 +82,60 @@ def dense_codes(df: DataFrame, col: str, name: str) -> DataFrame:
     return out.withColumn(name, F.col("_dense")).drop("_dense", "_w")
 
 
-def one_hot(df: DataFrame, col: str, max_levels: int = 1000) -> DataFrame:
-    """One 0/1 column per distinct non-null value of a code column; the column itself is dropped.
+def one_hot_rows(df: DataFrame, id: str, col: str) -> DataFrame:
+    """Rows ``(id, level)`` of the non-null codes: the set entries of the 0/1 matrix, for any number of levels."""
+    return df.filter(F.col(col).isNotNull()).select(id, F.col(col).alias("level"))
 
-    The level list becomes the output schema, so it must be short: more than ``max_levels`` levels raise.
+
+def one_hot_vector(df: DataFrame, col: str, name: str, levels: int | None = None) -> DataFrame:
+    """Add a sparse 0/1 vector of a code column (whole numbers from 0), for any number of levels; null gives the empty vector.
+
+    ``levels``: length of the vector, the largest code plus 1 unless given.
+    """
+    size = levels if levels is not None else int(df.agg(F.max(col)).first()[0] or 0) + 1
+    code = F.col(col).cast("double")
+    known = df.withColumn("_code", F.coalesce(code, F.lit(float(size))))
+    shape = df.sparkSession.createDataFrame([(float(size),)], "_code double")  # one level more, for null, which is dropped again
+    fitted = OneHotEncoder(inputCols=["_code"], outputCols=[name], dropLast=True).fit(shape)
+    return fitted.transform(known).drop("_code")
+
+
+def one_hot(df: DataFrame, col: str, levels: Sequence | None = None) -> DataFrame:
+    """One 0/1 column per level of a code column; the column itself is dropped.
+
+    The levels become the output schema. Name them, or have them read from the data, which is for columns known to be short.
+    For any number of levels use ``one_hot_rows`` or ``one_hot_vector``.
     """
-    levels = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().limit(max_levels + 1).collect()]
-    if len(levels) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels")
-    flags = {f"{col}_{v}": F.coalesce((F.col(col) == F.lit(v)).cast("int"), F.lit(0)) for v in sorted(levels)}
+    if levels is None:
+        levels = sorted(r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().collect())
+    flags = {f"{col}_{v}": F.coalesce((F.col(col) == F.lit(v)).cast("int"), F.lit(0)) for v in levels}
     return df.withColumns(flags).drop(col)
 
 
+def approx_bins(df: DataFrame, cols: Sequence[str], bins: int = 256, accuracy: int = 10_000) -> DataFrame:
+    """Replace number columns by the number of their quantile bin, equal edges merged. Edges of all columns come from one pass of mergeable
+    sketches (relative rank error 1/accuracy); only bins + 1 edges for each column reach the driver. A null stays null, and so does every value of a column without any."""
+    cols = list(cols)
+    if not cols:
+        return df
+    probs = [i / bins for i in range(bins + 1)]
+    found = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c) for c in cols]).first()
+    inner = {c: sorted({float(x) for x in found[c]})[1:-1] for c in cols if found[c]}
+    many = [c for c in inner if inner[c]]
+    few = {c: F.when(F.col(c).isNotNull(), F.lit(0)) for c in cols if c not in many}
+    if many:
+        splits = [[float("-inf"), *inner[c], float("inf")] for c in many]
+        cut = Bucketizer(splitsArray=splits, inputCols=many, outputCols=[f"_bin_{c}" for c in many], handleInvalid="keep")
+        df = cut.transform(df.withColumns({c: F.col(c).cast("double") for c in many}))
+        df = df.withColumns({c: F.when(F.col(c).isNotNull(), F.col(f"_bin_{c}").cast("int")) for c in many}).drop(*[f"_bin_{c}" for c in many])
+    return df.withColumns(few)
+
+
 def target_encode(df: DataFrame, key: str, label: str, stats: Sequence[str] = ("mean",), **limits: int) -> DataFrame:
     """Mean, sum or count of the known labels of a key, put on every row of that key (unlabelled rows too)."""
     makers = {"mean": F.avg(label), "sum": F.sum(label), "count": F.count(label)}
-    known = df.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
-    table = known.groupBy(key).agg(*[makers[s].alias(f"{key}_target_{s}") for s in stats])
-    return attach(df, table, key, **limits)
+    table = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_w"), F.count(label).alias("_known"), *[makers[s].alias(f"{key}_target_{s}") for s in stats])
+    return attach(df, table.filter("_known > 0").drop("_known"), key, weight="_w", **limits).drop("_w")
 
 
 def impact_table(df: DataFrame, key: str, label: str, outer: str, inner: str, n_outer: int = 5, n_inner: int = 5) -> DataFrame:

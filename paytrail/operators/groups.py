@@ -10,8 +10,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paytrail.operators.lookup import attach
+from paytrail.functions.keys import text
+from paytrail.operators.lookup import attach, lookup_cells
 from paytrail.sources.scratch import Pinned, payload_width, pin
 
 STATS = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum}
@@ -56,6 +58,25 @@ def stats_by_key(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
     return out
 
 
+def cell_stats(df: DataFrame, cols: Sequence[str], aggs: Mapping[str, Column], by: Sequence[str] = (), keep: Sequence[str] = ()) -> Pinned:
+    """Rows ``(_column, _value, *by, _w, aggregates)`` of several key columns, from one scan of melted cells. ``keep``: what the aggregates read."""
+    each = F.array(*[F.struct(F.lit(c).alias("_column"), cell(df, c).alias("_value")) for c in cols])
+    melted = df.select(*by, *keep, F.explode(each).alias("_cell")).select(*by, *keep, "_cell.*")
+    return pin(melted.groupBy("_column", "_value", *by).agg(F.count(F.lit(1)).alias("_w"), *[a.alias(n) for n, a in aggs.items()]), "cell-stats")
+
+
+NULL_CELL = "\u0000"  # stands for null among printed values, none of which holds this character
+
+
+def cell(df: DataFrame, col: str) -> Column:
+    """The value as text, null told apart; 0 and -0 are one value, as in a grouping."""
+    kind = df.schema[col].dataType
+    value = text(df, col)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        value = F.when(F.col(col) == 0, F.lit("0.0")).otherwise(value)
+    return F.coalesce(value, F.lit(NULL_CELL))
+
+
 def group_ratios(
     df: DataFrame,
     value: str,
@@ -64,13 +85,21 @@ def group_ratios(
     *,
     by: Sequence[str] = (),
     spread: Sequence[str] | None = None,
+    unique: Sequence[str] | None = None,
     **limits: int,
 ) -> DataFrame:
     """``value`` over the mean, standard deviation or sum of its group, for several keys.
 
     ``by`` holds the split column when the statistics belong to one split; leave it empty for the union. A null key or
-    a zero statistic gives null. All keys are aggregated in one scan.
+    a zero statistic gives null. All keys are aggregated in one scan. ``unique`` names columns that tell all rows apart: with them
+    statistics too large for a broadcast are joined once for all keys; without, once for each.
     """
+    if unique:
+        cells = cell_stats(df, keys, {s: STATS[s](value) for s in stats}, by, [value])
+        out = lookup_cells(df, {k: cell(df, k) for k in keys}, cells, stats, unique, by, **limits)
+        ratio = lambda s, k: F.when(F.col(k).isNotNull(), F.try_divide(F.col(value).cast("double"), F.col(f"`{s}_{k}`")))
+        out = out.withColumns({f"{value}_to_{s}_{k}": ratio(s, k) for k in keys for s in stats})
+        return out.drop(*[f"{s}_{k}" for k in keys for s in stats])
     tables = stats_by_key(df, keys, {s: STATS[s](value) for s in stats}, by)
     ratios: dict[str, Column] = {}
     for k in keys:
@@ -92,9 +121,14 @@ def frequencies(
     by: Sequence[str] = (),
     suffix: str = "_count_full",
     spread: Sequence[str] | None = None,
+    unique: Sequence[str] | None = None,
     **limits: int,
 ) -> DataFrame:
-    """Number of rows with the same value, nulls counted as a value. ``by`` counts inside each split."""
+    """Number of rows with the same value, nulls counted as a value. ``by`` counts inside each split; ``unique`` as in ``group_ratios``."""
+    if unique:
+        cells = cell_stats(df, cols, {"seen": F.count(F.lit(1))}, by)
+        out = lookup_cells(df, {c: cell(df, c) for c in cols}, cells, ["seen"], unique, by, **limits)
+        return out.withColumnsRenamed({f"seen_{c}": f"{c}{suffix}" for c in cols})
     tables = stats_by_key(df, cols, {}, by)
     for c in cols:
         table = tables[c]

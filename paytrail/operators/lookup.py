@@ -6,34 +6,29 @@ many rows of the large side are split over several tasks in the shuffle join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paytrail.sources.scratch import Pinned, pin
 
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 2_000_000
-HOT_KEYS = 10_000
 
 
-def _hot(counts: DataFrame, hot_rows: int) -> tuple[Pinned, int]:
-    """Rows of a count table ``(keys, _w)`` above the hot limit, and that limit.
+def _hot(counts: DataFrame, hot_rows: int) -> Pinned:
+    """Rows of a count table ``(keys, _w)`` above the limit, which is the same at every size. Ordinary keys are not written."""
+    return pin(counts.filter(F.col("_w") > hot_rows), "hot-keys")
 
-    The limit is ``hot_rows`` or a 1/``HOT_KEYS`` share of all rows, whichever is larger, so there are never more than
-    ``HOT_KEYS`` hot keys. Ordinary keys are counted on the way and not written.
-    """
-    seen = Observation()
-    some = pin(counts.observe(seen, F.sum("_w").alias("total")).filter(F.col("_w") > hot_rows), "hot-keys")
-    limit = max(hot_rows, int(seen.get["total"] or 0) // HOT_KEYS)
-    if some.rows == 0 or limit == hot_rows:
-        return some, limit
-    return pin(some.df.filter(F.col("_w") > limit), "hot-keys"), limit
+
+def small(table: Pinned, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, marked for a broadcast if its measured bytes allow one."""
+    return F.broadcast(table.df) if table.bytes <= broadcast_bytes else table.df
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[Pinned, int]:
-    """Keys that hold more rows than the hot limit with their count ``_w``, and the limit."""
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Pinned:
+    """Keys that hold more rows than the limit, with their count ``_w``."""
     return _hot(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w")), hot_rows)
 
 
@@ -54,6 +49,40 @@ def key_condition(keys: Sequence[str], null_match: bool) -> Column:
     return cond
 
 
+def attach_cells(
+    df: DataFrame, cells: Mapping[str, Column], table: DataFrame | Pinned, payload: Sequence[str], id: Sequence[str], by: Sequence[str] = (), **limits: int
+) -> DataFrame:
+    """Look up several columns of a row in one table: adds ``<payload>_<column>`` for each of ``cells``.
+
+    ``table`` has a row for each ``(_column, _value, *by)``, with its number of rows in ``_w``. The rows are melted to narrow cells, joined once, and
+    gathered with the whole rows by ``id``, which must be unique: two shuffles of the fact, whatever the number of columns.
+    """
+    id, by = list(id), list(by)
+    each = F.array(*[F.struct(F.lit(c).alias("_column"), v.alias("_value")) for c, v in cells.items()])
+    narrow = df.select(*id, *[b for b in by if b not in id], F.explode(each).alias("_cell")).select("*", "_cell.*").drop("_cell")
+    found = attach(narrow, table, ["_column", "_value", *by], how="inner", weight="_w", spread=[*id, "_column"], **limits)
+    rest = F.struct(*[F.col(c) for c in df.columns if c not in id])
+    whole = df.select(*id, rest.alias("_rest"))
+    parts = found.select(*id, "_column", *payload).unionByName(whole, allowMissingColumns=True)
+    values = [F.first(F.when(F.col("_column") == c, F.col(p)), ignorenulls=True).alias(f"{p}_{c}") for c in cells for p in payload]
+    rows = parts.groupBy(*id).agg(F.first("_rest", ignorenulls=True).alias("_rest"), *values)
+    kept = [c if c in id else F.col(f"_rest.{c}").alias(c) if c.isidentifier() else F.col("_rest").getField(c).alias(c) for c in df.columns]
+    return rows.select(*kept, *[f"`{p}_{c}`" for c in cells for p in payload])
+
+
+def lookup_cells(
+    df: DataFrame, cells: Mapping[str, Column], table: Pinned, payload: Sequence[str], id: Sequence[str], by: Sequence[str] = (), *, broadcast_bytes: int = BROADCAST_BYTES, **limits: int
+) -> DataFrame:
+    """``attach_cells``, or a broadcast for each column while the whole table is measured to be small enough for one."""
+    if table.bytes > broadcast_bytes:
+        return attach_cells(df, cells, table, payload, id, by, broadcast_bytes=broadcast_bytes, **limits)
+    for c, value in cells.items():
+        key = f"_cell_{c}"
+        named = table.df.filter(F.col("_column") == c).select(F.col("_value").alias(key), *by, *[F.col(p).alias(f"{p}_{c}") for p in payload])
+        df = attach(df.withColumn(key, value), Pinned(named, table.rows, table.bytes, {}), [key, *by], broadcast_bytes=broadcast_bytes).drop(key)
+    return df
+
+
 def attach(
     fact: DataFrame,
     table: DataFrame | Pinned,
@@ -80,14 +109,14 @@ def attach(
         return fact.join(F.broadcast(right), key_condition(keys, null_match), how).drop(*extras)
 
     if weight:
-        hot, limit = _hot(pinned.df.select(*keys, F.col(weight).alias("_w")), hot_rows)
+        hot = _hot(pinned.df.select(*keys, F.col(weight).alias("_w")), hot_rows)
     else:
-        hot, limit = hot_keys(fact, keys, hot_rows)
+        hot = hot_keys(fact, keys, hot_rows)
     if hot.rows == 0:
         return fact.join(right, key_condition(keys, null_match), how).drop(*extras)
 
-    shares = hot.df.select(*keys, F.ceil(F.col("_w") / limit).cast("int").alias("_n"))
-    shares = F.broadcast(keyed(shares, keys))  # at most HOT_KEYS rows
+    shares = hot.df.select(*keys, F.ceil(F.col("_w") / hot_rows).cast("int").alias("_n"))
+    shares = small(Pinned(keyed(shares, keys), hot.rows, hot.bytes, {}), broadcast_bytes)
     spread = list(spread or fact.columns)
     left = (
         fact.join(shares, key_condition(keys, True), "left")

@@ -13,10 +13,11 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from paytrail.operators.lookup import HOT_ROWS, attach, hot_keys, key_condition, keyed
-from paytrail.sources.scratch import pin
+from paytrail.operators.lookup import HOT_ROWS, attach, hot_keys, key_condition, keyed, small
+from paytrail.sources.scratch import Pinned, pin
 
 CHUNK_ROWS = 1_000_000
+SPAN = 4096  # chunks whose totals are summed together
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, row number in the partition below
 
 
@@ -70,9 +71,9 @@ def with_halo(ranked: DataFrame, rn: str, before: int, after: int, chunk_rows: i
     ).drop("_home")
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys and rows of hot keys; ``hot`` is bounded by the hot-key limit, hence the broadcast."""
-    marks = F.broadcast(keyed(hot.select(*keys), keys))
+def split_hot(df: DataFrame, keys: Sequence[str], hot: Pinned) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys and rows of hot keys; the list of hot keys is broadcast if its measured bytes allow that."""
+    marks = small(Pinned(keyed(hot.df.select(*keys), keys), hot.rows, hot.bytes, {}))
     cond = key_condition(keys, True)
     return df.join(marks, cond, "left_anti"), df.join(marks, cond, "left_semi")
 
@@ -91,12 +92,22 @@ def over_timeline(
 
     Ordinary keys use one window per key. Keys above the hot limit are range-sorted and cut into chunks with copied
     edge rows, so their rows are spread over tasks and the result is the same. ``order`` must be unique within a key.
+    Rows without a key belong to no timeline: their new columns are null, and they are not shuffled.
     """
+    lost = df.filter(F.col(key).isNull())
+    out = _over_known(df.filter(F.col(key).isNotNull()), key, order, build, reach=reach, hot_rows=hot_rows, chunk_rows=chunk_rows)
+    none = {f.name: F.lit(None).cast(f.dataType) for f in out.schema.fields if f.name not in df.columns}
+    return out.unionByName(lost.withColumns(none))
+
+
+def _over_known(
+    df: DataFrame, key: str, order: Sequence[str], build: Callable[[WindowSpec], Sequence[Column]], *, reach: int, hot_rows: int, chunk_rows: int
+) -> DataFrame:
     plain = Window.partitionBy(key).orderBy(*order)
-    hot, _ = hot_keys(df, [key], hot_rows)
+    hot = hot_keys(df, [key], hot_rows)
     if hot.rows == 0:
         return df.select("*", *build(plain))
-    cold_rows, heavy_rows = split_hot(df, [key], hot.df)
+    cold_rows, heavy_rows = split_hot(df, [key], hot)
     cold = cold_rows.select("*", *build(plain))
     halo = with_halo(with_ordinal(heavy_rows, [key, *order], "_rn").df, "_rn", reach, reach, chunk_rows)
     heavy = halo.select("*", *build(Window.partitionBy("_chunk", key).orderBy(*order)))
@@ -106,13 +117,19 @@ def over_timeline(
 def chunk_starts(ranked: DataFrame, by: Sequence[str], value: str, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
     """The ranked table with its ``_chunk``, and per chunk and group the total ``_t`` and the sum ``_base`` before it.
 
-    The second table has at most (rows / chunk_rows) + (number of groups) rows, and a group's share of it is at most
-    rows / chunk_rows: the window over it stays small.
+    The second table has at most (rows / chunk_rows) + (number of groups) rows. Its sums are taken in two levels, ``SPAN`` chunks at a time and
+    then over the spans, so one task walks over the square root of the chunks, not over all of them.
     """
     ranked = ranked.withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows))
-    totals = ranked.groupBy("_chunk", *by).agg(F.sum(value).alias("_t"))
-    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return ranked, totals.withColumn("_base", F.coalesce(F.sum("_t").over(earlier), F.lit(0)))
+    totals = ranked.groupBy("_chunk", *by).agg(F.sum(value).alias("_t")).withColumn("_span", F.floor(F.col("_chunk") / SPAN))
+    spans = totals.groupBy("_span", *by).agg(F.sum("_t").alias("_ts"))
+    ahead = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("_span", *by, F.coalesce(F.sum("_ts").over(ahead), F.lit(0)).alias("_before"))
+    earlier = Window.partitionBy("_span", *by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    inside = totals.withColumn("_here", F.coalesce(F.sum("_t").over(earlier), F.lit(0)))
+    on = ["_span", *by]
+    joined = inside.join(keyed(spans, on), key_condition(on, True)).drop(*[f"_k_{k}" for k in on])
+    return ranked, joined.withColumn("_base", F.col("_before") + F.col("_here")).drop("_span", "_before", "_here")
 
 
 def running_total(

@@ -42,16 +42,16 @@ def exact_quantiles(
 
     spots = F.flatten(F.transform(_numbers(probs), sides))
     inside = F.filter(spots, lambda s: (s["at"] >= F.col("_base")) & (s["at"] < F.col("_base") + F.col("_t")))
-    # at most two positions per group and quantile: both right sides below are that short
+    # at most two positions per group and quantile; adaptive execution broadcasts them if they are few
     wanted = starts.withColumn("_s", F.explode(inside)).select("_chunk", *by, "_base", "_s.*")
     on = ["_chunk", *by]
     extras = [f"_k_{k}" for k in on]
     read = keyed(wanted.select(*on, "_base").distinct(), on)
-    rows = ranked.join(F.broadcast(read), key_condition(on, True)).drop(*extras)
+    rows = ranked.join(read, key_condition(on, True)).drop(*extras)
     ahead = Window.partitionBy(*on).orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_base")
     covers = (F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_n"))
-    found = rows.join(F.broadcast(keyed(wanted.drop("_base"), on)), key_condition(on, True) & covers).drop(*extras)
+    found = rows.join(keyed(wanted.drop("_base"), on), key_condition(on, True) & covers).drop(*extras)
     low = F.max(F.when(F.col("side") == 0, F.col("_x")))
     high = F.max(F.when(F.col("side") == 1, F.col("_x")))
     return found.groupBy(*by, "q").agg((low + (high - low) * F.max("frac")).alias("value"))

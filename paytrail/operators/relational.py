@@ -201,6 +201,12 @@ def top_k(df: DataFrame, score: str, ties: Sequence[str], k: int) -> DataFrame:
     return df.orderBy(F.desc(score), *ties).limit(k)
 
 
+def last_distinct(df: DataFrame, key: str, order: Sequence[str], n: int) -> DataFrame:
+    """The ``n`` values of ``key`` that appear for the first time last along ``order``."""
+    seen = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
+    return seen.orderBy(F.desc("_first")).limit(n).select(key)
+
+
 def first_rows(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 

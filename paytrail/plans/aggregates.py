@@ -203,7 +203,10 @@ def _(spark, sf):
     return pr.histogram(payments(spark, sf), F.col("amt"), 50, ["y"])
 
 
-@query("histogram_log")
+@query(
+    "histogram_log",
+    f"WITH {P}, e AS (SELECT min(ln(amt)) AS lo, max(ln(amt)) AS hi FROM p) SELECT CAST(least(floor((ln(amt) - lo) / (hi - lo) * 50), 49) AS BIGINT) AS bin, count(*) AS n FROM p, e GROUP BY 1",
+)
 def _(spark, sf):
     return pr.histogram(payments(spark, sf), F.ln("amt"), 50)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paytrail.functions.keys import cross
+from paytrail.functions.keys import cross, number_text
 from paytrail.operators import embed, encode
 from paytrail.plans.fixtures import P, payments, rounded, table
 from paytrail.plans.registry import query
@@ -18,7 +18,7 @@ def _code(expr: str) -> str:
 
 @query("label_encode", f"WITH {P} SELECT id, " + ", ".join(f"{_code(c)} AS {c}" for c in _LABELLED) + " FROM p")
 def label_encode(spark, sf):
-    return encode.label_encode(payments(spark, sf).select("id", *_LABELLED), _LABELLED, spread=["id"])
+    return encode.label_encode(payments(spark, sf).select("id", *_LABELLED), _LABELLED, unique=["id"])
 
 
 def _txt(*cols: str) -> str:
@@ -33,7 +33,7 @@ def _txt(*cols: str) -> str:
 def _(spark, sf):
     p = payments(spark, sf)
     x = p.select("id", cross(p, "card2", "card4").alias("card2__card4"), cross(p, "p_email", "card2", "addr1").alias("p_email__card2__addr1"))
-    return encode.label_encode(x, ["card2__card4", "p_email__card2__addr1"], spread=["id"])
+    return encode.label_encode(x, ["card2__card4", "p_email__card2__addr1"], unique=["id"])
 
 
 @query(
@@ -129,6 +129,39 @@ def _(spark, sf):
     return p.select("id", embed.group_token(p, _GROUP).alias("card1_c5_m1"))
 
 
+_SIZES = ["1e-30", "1e-16", "1e-9", "1.0", "1e9", "1e25", "-1e-14"]
+_PLAIN = """CASE WHEN position('e' IN s) = 0 THEN s
+    WHEN e < 0 THEN sign || '0.' || repeat('0', CAST(-e - 1 AS INTEGER)) || d
+    ELSE sign || substr(rpad(d, CAST(greatest(e + 1, len(d)) AS INTEGER), '0'), 1, e + 1) || '.' || CASE WHEN len(d) > e + 1 THEN substr(d, e + 2) ELSE '0' END END"""
+
+
+@query(
+    "double_text",
+    "WITH x AS (SELECT o_orderkey AS id, unnest([" + ", ".join(_SIZES) + "]) AS f, o_totalprice AS p FROM orders), "
+    "s AS (SELECT id, CAST(p * f AS DOUBLE) AS x, CAST(CAST(p * f AS DOUBLE) AS VARCHAR) AS s FROM x), "
+    "t AS (SELECT id, x, s, CASE WHEN s LIKE '-%' THEN '-' ELSE '' END AS sign, replace(regexp_replace(regexp_replace(s, 'e.*$', ''), '^-', ''), '.', '') AS d, "
+    f"TRY_CAST(regexp_extract(s, 'e(.*)$', 1) AS INTEGER) AS e FROM s) SELECT id, x, {_PLAIN} AS text FROM t",
+)
+def _(spark, sf):
+    sizes = F.array(*[F.lit(float(f)) for f in _SIZES])
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice", F.explode(sizes).alias("f"))
+    return rows.select("id", (F.col("o_totalprice") * F.col("f")).alias("x")).withColumn("text", number_text(F.col("x")))
+
+
+@query(
+    "distinct_small_doubles",
+    "SELECT count(DISTINCT o_totalprice * 1e-16) AS small, count(DISTINCT o_totalprice * 1e25) AS large FROM orders",
+)
+def _(spark, sf):
+    price = F.col("o_totalprice")
+    return table(spark, sf, "orders").agg(F.countDistinct(number_text(price * 1e-16)).alias("small"), F.countDistinct(number_text(price * 1e25)).alias("large"))
+
+
+@query("one_hot_rows", f"WITH {P} SELECT id, card4 AS level FROM p WHERE card4 IS NOT NULL")
+def _(spark, sf):
+    return encode.one_hot_rows(payments(spark, sf).select("id", "card4"), "id", "card4")
+
+
 @query(
     "corpus_lines",
     f"WITH {P} SELECT " + " || ' ' || ".join(f"'{c}_' || coalesce(CAST({c} AS VARCHAR), 'nan')" for c in ("id", "priority", "card1", "c5", "m1")) + " AS value FROM p",
@@ -145,11 +178,11 @@ def _(spark, sf):
 
 @query(
     "embed_lookup",
-    f"WITH {P} SELECT id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS uid_{i}" for i in range(4)) + " FROM p LEFT JOIN embeddings ON uid = vec_id",
+    f"WITH {P} SELECT id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS uid_{i}" for i in range(64)) + " FROM p LEFT JOIN embeddings ON uid = vec_id",
 )
 def _(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.concat(F.lit("uid_"), "vec_id").alias("word"), F.col("embedding").alias("vector"))
-    return embed.embed_token(payments(spark, sf).select("id", "uid"), "uid", vectors, 4, spread=["id"]).drop("uid")
+    return embed.embed_token(payments(spark, sf).select("id", "uid"), "uid", vectors, 64, spread=["id"]).drop("uid")
 
 
 @query("mean_vector", "SELECT label, " + ", ".join(f"round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 6) AS m_{i}" for i in range(64)) + " FROM embeddings GROUP BY label")

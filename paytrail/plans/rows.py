@@ -179,6 +179,19 @@ def _(spark, sf):
     return rel.first_rows(events(spark, sf).select("id", "uid", "dt"), ["dt", "id"], 80)
 
 
+@query(
+    "last_entities",
+    f"WITH {T}, f AS (SELECT uid, dt, id, row_number() OVER (PARTITION BY uid ORDER BY dt, id) AS r FROM t WHERE uid IS NOT NULL) SELECT uid FROM f WHERE r = 1 ORDER BY dt DESC, id DESC LIMIT 30",
+)
+def _(spark, sf):
+    return rel.last_distinct(events(spark, sf).select("id", "uid", "dt"), "uid", ["dt", "id"], 30)
+
+
+@query("drop_features", f"WITH {T} SELECT id, uid, dt FROM t")
+def _(spark, sf):
+    return rel.drop_features(events(spark, sf).select("id", "uid", "dt", "v", "y"), ["v", "y", "absent"])
+
+
 # ---- amounts and codes
 
 

@@ -110,21 +110,29 @@ def rare_features(df: DataFrame) -> DataFrame | None:
         ("BrowserType", 1000, False, "other"), ("DeviceCorp", 100, False, "Other"),
     ]  # fixed values: column, threshold, inclusive, name of the rest
     cols = _present(df, [r[0] for r in rules])
-    out = df.select(ID, SPLIT, *cols)
-    for col, threshold, inclusive, other in rules:
-        if col in cols:
-            out = rel.rare_collapse(out, col, threshold, inclusive=inclusive, other=other, by=[SPLIT])
+    if not cols:
+        return None
+    narrow = df.select(ID, SPLIT, *cols)
+    seen = groups.frequencies(narrow, cols, by=[SPLIT], suffix="_seen", unique=[ID])
+    out = seen.select(
+        ID,
+        *[
+            F.when(F.col(col).isNotNull() & (F.col(f"{col}_seen") <= threshold - (not inclusive)), other).otherwise(F.col(col)).alias(col)
+            for col, threshold, inclusive, other in rules
+            if col in cols
+        ],
+    )
     if "DeviceCorp" in cols:
         out = out.withColumn("DeviceCorp", F.upper("DeviceCorp"))
-    return out.drop(SPLIT) if cols else None
+    return out
 
 
 def frequency_features(df: DataFrame) -> DataFrame:
     union = _present(df, [*CARDS, *ADDRESSES, *MATCHES, "card_str"])
-    out = groups.frequencies(df.select(ID, SPLIT, *union, *_present(df, ["id_30", "id_31", "id_33"])), union, spread=[ID])
+    out = groups.frequencies(df.select(ID, SPLIT, *union, *_present(df, ["id_30", "id_31", "id_33"])), union, unique=[ID])
     own = _present(df, ["id_30", "id_31", "id_33"])
     if own:
-        out = groups.frequencies(out, own, by=[SPLIT], suffix="_count", spread=[ID])
+        out = groups.frequencies(out, own, by=[SPLIT], suffix="_count", unique=[ID])
     return out.drop(SPLIT, *union, *own)
 
 
@@ -139,7 +147,7 @@ def ratio_features(df: DataFrame) -> list[DataFrame]:
     for value, by_keys, stats in plans:
         if _has(df, value) and by_keys:
             narrow = df.select(ID, SPLIT, value, *by_keys)
-            out.append(groups.group_ratios(narrow, value, by_keys, stats, by=[SPLIT], spread=[ID]).drop(SPLIT, value, *by_keys))
+            out.append(groups.group_ratios(narrow, value, by_keys, stats, by=[SPLIT], unique=[ID]).drop(SPLIT, value, *by_keys))
     return out
 
 
@@ -176,34 +184,34 @@ def lookback_features(
 ) -> list[DataFrame]:
     """Labels of the entity on the day each gap column points to, or the day after, from the labelled rows only."""
     out = []
-    for gap, entities in LOOKBACKS.items():
-        if gap not in df.columns:
+    for entity, who, mail in ((ENTITY_NO_MAIL, "uid_card", ""), (ENTITY, "uid", "_pEmail")):
+        gaps = [gap for gap, entities in LOOKBACKS.items() if gap in df.columns and any(e is entity for e in entities)]
+        if not gaps:
             continue
-        whole = F.when(F.col(gap) == F.floor(gap), F.col(gap).cast("long"))  # a gap is a number of whole days
-        used = F.when((F.col(SPLIT) == "test") | (F.col(gap) >= smallest_gap), whole)
-        for cols in entities:
-            who, mail = ("uid", "_pEmail") if cols is ENTITY else ("uid_card", "")
-            out.append(
-                lookback.lookback_encode(
-                    df.select(ID, who, "day_no", LABEL, used.alias("_gap")),
-                    id=ID,
-                    entity=who,
-                    day="day_no",
-                    gap="_gap",
-                    measure=LABEL,
-                    offsets=(0, 1),
-                    pick="first",
-                    day_range=(first_day, None),
-                    target_range=(1, last_day),
-                    names=[f"{stat}_{gap}{mail}" for stat in ("mean", "sum", "cnt")],
-                )
+        used = {}
+        for gap in gaps:
+            whole = F.when(F.col(gap) == F.floor(gap), F.col(gap).cast("long"))  # a gap is a number of whole days
+            used[gap] = F.when((F.col(SPLIT) == "test") | (F.col(gap) >= smallest_gap), whole).alias(f"_gap_{gap}")
+        out.append(
+            lookback.lookback_gaps(
+                df.select(ID, who, "day_no", LABEL, *used.values()),
+                id=ID,
+                entity=who,
+                day="day_no",
+                gaps={f"{gap}{mail}": f"_gap_{gap}" for gap in gaps},
+                measure=LABEL,
+                offsets=(0, 1),
+                pick="first",
+                day_range=(first_day, None),
+                target_range=(1, last_day),
             )
+        )
     return out
 
 
 def code_features(df: DataFrame, text: Sequence[str]) -> DataFrame:
     """Every text column as the rank of its value over all splits."""
-    return encode.label_encode(df.select(ID, *text), text, spread=[ID])
+    return encode.label_encode(df.select(ID, *text), text, unique=[ID])
 
 
 def card_components(df: DataFrame) -> DataFrame | None:
@@ -215,14 +223,27 @@ def card_components(df: DataFrame) -> DataFrame | None:
     return reduce.apply_pca(fitted, filled).drop(SPLIT, *cols)
 
 
+# fixed values: categories of the token sentences, and the groups that make a token of their own
+CATEGORIES = ["P_emaildomain", "ProductCD", "R_emaildomain", *MATCHES, *ADDRESSES, *CARDS, *[f"id_{i}" for i in range(12, 39)], "DeviceType", "DeviceInfo"]
+TOKEN_GROUPS = [["P_emaildomain", "R_emaildomain"], MATCHES, ADDRESSES, CARDS]
+TOKEN_BINS = 256
+
+
 def card_vectors(df: DataFrame, size: int = 50) -> DataFrame:
-    """Vector of the row's card-group token, learned from all rows as sentences of coded categories."""
-    cols = _present(df, ["ProductCD", *CARDS, *ADDRESSES, "P_emaildomain", "R_emaildomain", *MATCHES])
-    coded = encode.category_codes(df.select(ID, *cols), cols)
-    coded = pin(coded.withColumn("_cards", embed.group_token(coded, _present(df, CARDS))), "sentences").df
-    tokens = embed.sentence(coded, [*cols, "_cards"])
-    learned = embed.train_tokens(coded.select(tokens.alias("tokens")), "tokens", size=size, window=len(cols) + 1)
-    return embed.embed_token(coded.select(ID, "_cards"), "_cards", embed.token_vectors(learned), size, spread=[ID]).drop("_cards")
+    """Vector of the row's card-group token, learned from all rows as sentences of coded categories, binned numbers and four group tokens."""
+    cats = _present(df, CATEGORIES)
+    inputs = [f"C{i}" for i in range(1, 15)] + [f"D{i}" for i in range(1, 16)] + [f"V{i}" for i in range(1, 340)] + [f"id_{i:02d}" for i in range(1, 12)]
+    numbers = _present(df, [AMOUNT, "dist1", "dist2", *inputs])
+    filled = rel.fill_by_type(df.select(ID, *cats, *numbers), number=-1.0, cols=numbers)
+    binned = encode.approx_bins(filled, [n for n in numbers if n not in rel.columns_of_type(df, "string")], TOKEN_BINS)
+    coded = encode.category_codes(binned, cats, unique=[ID])
+    named = [(f"_group{i}", _present(df, g)) for i, g in enumerate(TOKEN_GROUPS)]
+    named = [(n, g) for n, g in named if g]
+    coded = pin(coded.withColumns({n: embed.group_token(coded, g) for n, g in named}), "sentences").df
+    learned = embed.train_tokens(coded.select(embed.sentence(coded, [c for c in coded.columns if c != ID]).alias("tokens")), "tokens", size=size)
+    cards = next(n for n, g in named if g == _present(df, CARDS))
+    vectors = embed.embed_token(coded.select(ID, cards), cards, learned, size, spread=[ID]).drop(cards)
+    return vectors.withColumnsRenamed({f"{cards}_{i}": f"_cards_{i}" for i in range(size)})
 
 
 def build_matrix(
@@ -257,12 +278,13 @@ def build_matrix(
 def score(
     matrix: DataFrame, *, k: int = 5, first: int = 3, params: Mapping | None = None, drop: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """Scores of the unlabelled rows (mean of the first folds) and the AUC of each fold."""
-    ready = pin(matrix, "matrix").df
-    features = [c for c in ready.columns if c not in (ID, LABEL, SPLIT, *drop)]
+    """Scores of the unlabelled rows (mean of the first folds) and the AUC of each fold. The matrix is assembled and written once."""
+    features = [c for c in matrix.columns if c not in (ID, LABEL, SPLIT, *drop)]
+    kept = [c for c in (ID, LABEL, SPLIT, TIME) if c in matrix.columns]
+    ready = model.packed(model.assemble(matrix, features).select(*kept, "features"), "matrix")
     train = folds.kfold_contiguous(rel.take_split(ready, "train", SPLIT), [TIME, ID], k)
     test = rel.take_split(ready, "test", SPLIT)
-    _, valid, scored = model.cross_fit(train, test, id=ID, label=LABEL, features=features, first=first, params=params)
+    _, valid, scored = model.cross_fit(train, test, id=ID, label=LABEL, features=None, first=first, params=params)
     scores = model.blend(scored, ID, first).withColumnRenamed("score", LABEL)
     return scores, auc(valid, LABEL, "score", ["fold"])
 

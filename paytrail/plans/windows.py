@@ -22,7 +22,7 @@ def _ratio_sql(stat: str, digits: int) -> str:
 
 def _ratios(spark, sf, stat: str, digits: int):
     p = payments(spark, sf).select("id", "split", "v", *_CARDS)
-    out = groups.group_ratios(p, "v", _CARDS, [stat], by=["split"], spread=["id"])
+    out = groups.group_ratios(p, "v", _CARDS, [stat], by=["split"], unique=["id"])
     return out.select("id", *[rounded(f"v_to_{stat}_{k}", digits).alias(f"v_to_{stat}_{k}") for k in _CARDS])
 
 
@@ -140,7 +140,7 @@ _FREQ = ["card1", "card2", "card4", "addr1", "m1", "m2"]
 
 @query("freq_union", f"WITH {P} SELECT id, " + ", ".join(f"count(*) OVER (PARTITION BY {c}) AS {c}_count_full" for c in _FREQ) + " FROM p")
 def freq_union(spark, sf):
-    return groups.frequencies(payments(spark, sf).select("id", *_FREQ), _FREQ, spread=["id"]).drop(*_FREQ)
+    return groups.frequencies(payments(spark, sf).select("id", *_FREQ), _FREQ, unique=["id"]).drop(*_FREQ)
 
 
 _OWN = ["id_30", "id_31", "id_33"]
@@ -149,7 +149,7 @@ _OWN = ["id_30", "id_31", "id_33"]
 @query("freq_split", f"WITH {P} SELECT id, " + ", ".join(f"count(*) OVER (PARTITION BY split, {c}) AS {c}_count" for c in _OWN) + " FROM p")
 def _(spark, sf):
     p = payments(spark, sf).select("id", "split", *_OWN)
-    return groups.frequencies(p, _OWN, by=["split"], suffix="_count", spread=["id"]).drop("split", *_OWN)
+    return groups.frequencies(p, _OWN, by=["split"], suffix="_count", unique=["id"]).drop("split", *_OWN)
 
 
 # ---- folds

@@ -33,7 +33,7 @@ def local_session(cores: int | str = "*", conf: dict[str, str] | None = None) ->
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
         "spark.driver.bindAddress": "127.0.0.1",
-        "spark.showConsoleProgress": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     spark = build_session(master=f"local[{cores}]", conf={**base, **(conf or {})})
     spark.sparkContext.setLogLevel("ERROR")

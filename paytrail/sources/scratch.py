@@ -10,6 +10,8 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +42,8 @@ def payload_width(field: T.StructField) -> Column:
         return F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)) + 16
     if isinstance(field.dataType, T.ArrayType):
         return F.coalesce(F.size(F.col(f"`{field.name}`")), F.lit(0)) * 8 + 16
+    if isinstance(field.dataType, VectorUDT):
+        return F.size(vector_to_array(F.col(f"`{field.name}`"))) * 8 + 16
     return F.lit(8)
 
 

@@ -77,7 +77,7 @@ def diff(df, con, sql) -> str | None:
     return None
 
 
-BOUNDED = re.compile(r"(_part|_chunk|_bin)#")  # one row per range partition, chunk or bin
+BOUNDED = re.compile(r"(_part|_chunk|_bin|_span)#")  # one row per range partition, chunk, bin or span of chunks
 
 
 def plan_of(df) -> str:

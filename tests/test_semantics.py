@@ -1,5 +1,6 @@
 """Small frames: null keys, ties, single rows, zero divisors, short strings, empty look-backs, files."""
 
+import hashlib
 import math
 
 import pandas as pd
@@ -203,8 +204,15 @@ def test_label_codes(spark):
     dense = encode.dense_codes(df, "n", "code")
     assert sorted(map(str, col(dense, "code"))) == ["0", "1", "1", "None"]
     assert sorted(encode.one_hot(df, "s").columns) == ["n", "s_a", "s_b"]
-    with pytest.raises(ValueError):
-        encode.one_hot(df, "s", max_levels=1)
+    assert encode.one_hot(df, "s", levels=["a"]).columns == ["n", "s_a"]
+    assert sorted(tuple(r) for r in encode.one_hot_rows(df, "n", "s").collect() if r["n"]) == [(10, "b"), (10, "b")]
+
+
+def test_one_hot_of_many_levels(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") > 0, F.col("id")).alias("code"))
+    rows = encode.one_hot_vector(df, "code", "v").orderBy("id").collect()
+    assert rows[0]["v"].size == 3000 and rows[0]["v"].numNonzeros() == 0
+    assert all(r["v"].indices.tolist() == [r["id"]] for r in rows[1:])
 
 
 @pytest.mark.parametrize("values", [[float(i % 37) for i in range(400)], [1.0, 1.0, 2.0], [5.0, 5.0], [0.1 * i * i for i in range(700)]])
@@ -264,14 +272,15 @@ def test_lookback_defaults(spark):
     assert sorted(col(some, "id")) == [2, 4]
 
 
-def test_vectors(spark, tmp_path):
-    from pyspark.ml.feature import Word2VecModel
-
+def test_vectors(spark):
     df = spark.createDataFrame([(1, "a", 1), (2, "b", None)], "id long, s string, n int")
     assert col(embed.corpus_lines(df, ["s", "n"]), "value") == ["s_a n_1", "s_b n_nan"]
-    learned = embed.train_tokens(df.select(embed.sentence(df, ["s", "n"]).alias("t")), "t", size=4)
-    learned.write().overwrite().save(str(tmp_path / "tokens"))
-    vectors = embed.token_vectors(Word2VecModel.load(str(tmp_path / "tokens")))
+    vectors = embed.train_tokens(df.select(embed.sentence(df, ["s", "n"]).alias("t")), "t", size=4)
+    digits = {t: [2 * int(c, 16) - 15 for c in hashlib.sha256(t.encode()).hexdigest()[:4]] for t in ("s_a", "n_1", "s_b", "n_nan")}
+    pairs = {"s_a": "n_1", "n_1": "s_a", "s_b": "n_nan", "n_nan": "s_b"}
+    assert {r["word"]: r["vector"] for r in vectors.collect()} == {t: [x / 15 for x in digits[o]] for t, o in pairs.items()}
+    alone = spark.createDataFrame([(["x"],), ([None, "y"],), (None,), ([],)], "t array<string>")
+    assert embed.train_tokens(alone, "t", size=4).count() == 0
     out = embed.embed_token(df.select("id", "s"), "s", vectors, 4)
     assert out.columns == ["id", "s", "s_0", "s_1", "s_2", "s_3"] and out.filter("s_0 is null").count() == 0
     words = spark.createDataFrame([(1, ["x", "y", "?"]), (2, ["?"])], "id long, t array<string>")
