@@ -124,13 +124,13 @@ def _(spark, sf):
     return model.importances(models, _FEATURES)
 
 
-_POINTS = 25
+_POINTS, _SEARCH_FOLDS = 25, 3
 
 
 @query("random_search")
 def _(spark, sf):
-    m = _matrix(spark, sf).withColumn("fold0", F.col("fold") - 1)
-    return model.random_search(m, label="y", features=_FEATURES, fold="fold0", points=model.draw_points(_POINTS, seed=42), folds=_FOLDS, parallelism=8)
+    m = _matrix(spark, sf).withColumn("fold0", F.pmod(F.col("fold") - 1, F.lit(_SEARCH_FOLDS)))
+    return model.random_search(m, label="y", features=_FEATURES, fold="fold0", points=model.draw_points(_POINTS, seed=42), folds=_SEARCH_FOLDS, parallelism=8)
 
 
 @query("ablation")

@@ -111,6 +111,15 @@ def test_models_and_importances_are_kept(spark, tmp_path):
     assert [r["feature"] for r in kept] == ["x", "z"] and float(kept[0]["average"]) > 0.9
 
 
+def test_search_draws_all_bounds(spark):
+    df = spark.range(120).select((F.col("id") % 10).cast("double").alias("x"), F.rand(3).alias("z"), (F.col("id") % 10 > 5).cast("int").alias("y"), (F.col("id") % 2).alias("fold"))
+    points = model.draw_points(2, seed=1)
+    assert all(set(p) == set(model.SEARCH_SPACE) for p in points) and points != model.draw_points(2, seed=2)
+    small = [{**p, "maxDepth": 2, "minInstancesPerNode": 1} for p in points]
+    rows = model.random_search(df, label="y", features=["x", "z"], fold="fold", points=small, folds=2, params={"maxIter": 2}).collect()
+    assert [r["point"] for r in rows] == [1, 2] and all(r["auc"] > 0.5 for r in rows)
+
+
 def test_svd_directions(spark):
     import numpy as np
 
