@@ -6,8 +6,9 @@ chance (1 - (1 - s^WIDTH)^GROUPS)^2, which is 0.9999 at 0.75.
 
 1. Texts with the same words are one class, by its smallest id; all that follows is on class representatives.
 2. A key that one representative alone has can't make a pair; only keys held by several are combined to table keys.
-3. In each table every member is paired with the smallest one. What is confirmed is united. Members of a table that are still in different
-   components are then paired across components, so no pair that a table offers is lost, and no group is paired with itself.
+3. In each table every member is paired with the smallest one. What is confirmed is united. Members of tables whose members are still in different
+   components are then paired across components, where a bound on what they can share allows a link (``_across``): no link that a table
+   offers is lost, and no group is paired with itself.
 4. A pair is dropped if the set sizes or, with next to no risk (about 1e-9 at 0.75), the minhash sketches rule it out; the others are
    confirmed on their full shingle sets.
 """
@@ -20,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paytrail.llm.graph import components
 from paytrail.llm.words import mix, shingles, slices, words
-from paytrail.sources.scratch import pin
+from paytrail.operators.lookup import small
+from paytrail.sources.scratch import Pinned, pin
 
 WORDS = 5
 GROUPS = 12
@@ -32,6 +35,7 @@ PERCENT = 75
 HASHES = 2 * GROUPS * WIDTH
 #: Of ``HASHES`` minhashes so many agree at least, but for a chance of about 1e-9, at similarity 0.75.
 AGREE = 17
+BROADCAST_BYTES = 16 << 20  # a list of ids up to this size is broadcast
 
 _SEEDS = np.random.default_rng(75).integers(0, 2**63, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -138,17 +142,47 @@ def _plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.filter(size).filter(_agreeing(F.hex("s_a"), F.hex("s_b")) >= AGREE).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full sets are similar enough. Of the texts only those that occur in a pair are kept."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "same"), "id")
-    made = shingle_sets(docs.join(wanted.select("id"), "id", "left_semi"))
-    sets = pin(made.join(wanted, ["id", "same"], "left_semi").dropDuplicates(["id"]), "shingles").df
+def _sets(wanted: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, shingles) of the representatives named by ``wanted``. The texts stay where they are while the measured list of ids is short enough to
+    be broadcast; else those asked for are shuffled."""
+    named = pin(wanted.join(reps.select("id", "same"), "id"), "wanted")
+    ids = small(Pinned(named.df.select("id"), named.rows, 16 * named.rows, {}), BROADCAST_BYTES)
+    made = shingle_sets(docs.join(ids, "id", "left_semi"))
+    return pin(made.join(named.df, ["id", "same"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"), "shingles").df
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose full sets are similar enough."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("s_a", "s_b"))
     return both.filter(100 * shared >= PERCENT * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b")
 
 
+def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (id, part) of different parts that can be similar at all.
+
+    With every set in one order, rarest shingles first, two sets of similarity t share a shingle among the first n - ceil(t * n) + 1 of either, and from a shared
+    shingle on both must have as many left as the pair needs in common. So a passage that many documents hold, being last in the order, pairs
+    only those that consist of little else. Parts are matched before their members: those of one part never meet.
+    """
+    each = sets.join(members, "id").select("id", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    shared = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("g"))).filter("df > 1")
+    own = Window.partitionBy("id")
+    placed = shared.withColumn("left", F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("df", "g")) + 1)
+    prefix = pin(placed.filter(100 * F.col("left") >= PERCENT * F.col("n")).select("g", "id", "part", "n", "left"), "prefixes").df
+    of_part = prefix.groupBy("g", "part").agg(F.min("n").alias("n"), F.max("n").alias("top"), F.max("left").alias("left"))
+    other = of_part.select(*[F.col(c).alias(f"_{c}") for c in ("g", "part", "n", "top", "left")])
+    need = lambda n, m: PERCENT * (n + m)  # noqa: E731  (100 + PERCENT) times the overlap that sizes n and m need
+    can = (100 * F.col("top") >= PERCENT * F.col("_n")) & (100 * F.col("_top") >= PERCENT * F.col("n"))
+    can = can & ((100 + PERCENT) * F.least("left", "_left") >= need(F.col("n"), F.col("_n")))
+    parts = of_part.join(other, (F.col("g") == F.col("_g")) & (F.col("part") < F.col("_part")) & can).select("g", "part", "_part")
+    a = prefix.select("g", "part", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
+    b = prefix.select("g", F.col("part").alias("_part"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
+    fits = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & ((100 + PERCENT) * F.least("left_a", "left_b") >= need(F.col("n_a"), F.col("n_b")))
+    return parts.join(a, ["g", "part"]).join(b, ["g", "_part"]).filter(fits).select("a", "b").distinct()
+
+
 def tables(reps: DataFrame) -> DataFrame:
     """(key, id) of the tables that hold several representatives."""
     rows = reps.select("id", F.posexplode("keys").alias("place", "part"))
@@ -165,20 +199,18 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """id, component of the representatives (id, same, n, keys, sketch) that are linked. ``docs``: (id, text) of them at least."""
     crowded = pin(tables(reps), "crowded").df
     star = crowded.filter("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    first = pin(_confirmed(pin(_plausible(star, reps), "pairs").df, reps, docs), "confirmed").df
+    pairs = pin(_plausible(star, reps), "pairs").df
+    ends = lambda x: x.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    first = pin(_confirmed(pairs, _sets(ends(pairs), reps, docs)), "confirmed").df
     parts = pin(components(first), "parts").df
-    labelled = crowded.filter("n > 2").join(parts, "id", "left").select("key", "id", "least", F.coalesce("component", "id").alias("part"))
+    labelled = crowded.filter("n > 2").join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
     mixed = labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x != y").select("key")
-    rest = pin(labelled.join(mixed, "key", "left_semi"), "mixed").df
-    each = rest.select("key", "part").distinct()
-    across = each.join(each.select("key", F.col("part").alias("other")), "key").filter("part < other")
-    across = across.join(rest.select("key", "part", F.col("id").alias("a"), "least"), ["key", "part"])
-    across = across.join(rest.select("key", F.col("part").alias("other"), F.col("id").alias("b")), ["key", "other"])
-    across = across.filter("a != least and b != least").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = pin(_plausible(across, reps), "pairs")
-    if not second.rows:
+    members = pin(labelled.join(mixed, "key", "left_semi").select("id", "part").distinct(), "mixed")
+    if not members.rows:
         return parts
-    return components(first.unionByName(_confirmed(second.df, reps, docs)))
+    sets = _sets(members.df.select("id"), reps, docs)
+    second = pin(_confirmed(_plausible(_across(members.df, sets), reps), sets), "confirmed")
+    return components(first.unionByName(second.df)) if second.rows else parts
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
