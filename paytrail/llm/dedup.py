@@ -171,16 +171,20 @@ def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
     own = Window.partitionBy("id")
     placed = shared.withColumn("left", F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("df", "g")) + 1)
     prefix = pin(placed.filter(100 * F.col("left") >= PERCENT * F.col("n")).select("g", "id", "part", "n", "left"), "prefixes").df
-    of_part = prefix.groupBy("g", "part").agg(F.min("n").alias("n"), F.max("n").alias("top"), F.max("left").alias("left"))
-    other = of_part.select(*[F.col(c).alias(f"_{c}") for c in ("g", "part", "n", "top", "left")])
+    of_part = prefix.groupBy("g", "part").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("n"), F.max("n").alias("top"), F.max("left").alias("left"))
+    other = of_part.select(*[F.col(c).alias(f"_{c}") for c in ("g", "part", "size", "n", "top", "left")])
     need = lambda n, m: PERCENT * (n + m)  # noqa: E731  (100 + PERCENT) times the overlap that sizes n and m need
     can = (100 * F.col("top") >= PERCENT * F.col("_n")) & (100 * F.col("_top") >= PERCENT * F.col("n"))
     can = can & ((100 + PERCENT) * F.least("left", "_left") >= need(F.col("n"), F.col("_n")))
-    parts = of_part.join(other, (F.col("g") == F.col("_g")) & (F.col("part") < F.col("_part")) & can).select("g", "part", "_part")
-    a = prefix.select("g", "part", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
-    b = prefix.select("g", F.col("part").alias("_part"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
+    met = of_part.join(other, (F.col("g") == F.col("_g")) & (F.col("part") < F.col("_part")) & can)
+    few = F.col("size") <= F.col("_size")  # the members of the smaller part come first
+    parts = met.select("g", *[F.when(few, x).otherwise(y).alias(n) for n, x, y in (("few", F.col("part"), F.col("_part")), ("many", F.col("_part"), F.col("part")))])
+    a = prefix.select(F.col("g").alias("g_a"), F.col("part").alias("part_a"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
+    b = prefix.select(F.col("g").alias("g_b"), F.col("part").alias("part_b"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
     fits = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & ((100 + PERCENT) * F.least("left_a", "left_b") >= need(F.col("n_a"), F.col("n_b")))
-    return parts.join(a, ["g", "part"]).join(b, ["g", "_part"]).filter(fits).select("a", "b").distinct()
+    first = parts.join(a, (F.col("g") == F.col("g_a")) & (F.col("few") == F.col("part_a")))
+    both = first.join(b, (F.col("g") == F.col("g_b")) & (F.col("many") == F.col("part_b")) & fits)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def tables(reps: DataFrame) -> DataFrame:
