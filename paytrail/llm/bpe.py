@@ -30,7 +30,8 @@ from paytrail.llm.words import slices
 
 CACHED = 400_000  # words whose ids a worker keeps
 LONG = 400
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20  # of text encoded at a time
+DECODED_IDS = 1 << 18  # decoded at a time, or one text's
 
 Ranks = dict[bytes, int]
 
@@ -66,6 +67,10 @@ def read_ranks(path: str) -> Ranks:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _database() -> duckdb.DuckDBPyConnection:
+    return duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": tempfile.gettempdir(), "preserve_insertion_order": False})
+
+
 class Bpe:
     """``pattern`` splits a text into words; ``ranks`` are a vocabulary's tokens."""
 
@@ -76,11 +81,9 @@ class Bpe:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         a, b, rank = (pa.array(x, pa.int32()) for x in zip(*pairs)) if pairs else [pa.array([], pa.int32())] * 3
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": tempfile.gettempdir(), "preserve_insertion_order": False})
-        merges = pa.table({"a": a, "b": b, "rank": rank})  # noqa: F841  read by the queries, as are the tables below
-        vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "piece": [t.hex() for t in ranks]})  # noqa: F841
+        self.db = _database()
+        merges = pa.table({"a": a, "b": b, "rank": rank})  # noqa: F841  read by the query, as are the tables below
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
 
     def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words by the recursive query: all ids, and their number in each word."""
@@ -163,10 +166,21 @@ class Bpe:
         bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
         return self.flat[at], bounds
 
+
+class Decoder:
+    """The vocabulary as a table of an in-process database."""
+
+    def __init__(self, ranks: Ranks):
+        self.size, self.db = len(ranks), _database()
+        vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "piece": [t.hex() for t in ranks]})  # noqa: F841
+        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
+
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
+            raise ValueError("an id isn't in the vocabulary")
         n = np.diff(bounds)
         doc = np.repeat(np.arange(len(n)), n)
-        ids = pa.table({"doc": doc.astype(np.int32), "pos": np.arange(len(ids), dtype=np.int32), "id": ids})  # noqa: F841
+        ids = pa.table({"doc": doc.astype(np.int32), "pos": np.arange(len(ids), dtype=np.int32), "id": ids.astype(np.int32)})  # noqa: F841
         out = [b""] * len(n)
         got = self.db.sql(_DECODE).to_arrow_table()
         for d, body in zip(got.column("doc").to_pylist(), got.column("body").to_pylist()):
@@ -180,6 +194,12 @@ def tokenizer(path: str, pattern: str) -> Bpe:
     return Bpe(read_ranks(path), pattern)
 
 
+@cache
+def decoder(path: str) -> Decoder:
+    """Built once in each Python worker."""
+    return Decoder(read_ranks(path))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array of token ids); one row per input row. Null and empty texts have none. No shuffle.
 
@@ -197,23 +217,21 @@ def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: s
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", body: str = "body") -> DataFrame:
+def decode(rows: DataFrame, path: str, ids: str = "ids", body: str = "body") -> DataFrame:
     """The rows with the bytes of their ids in place of the ids. Null and empty lists give no bytes; an id that isn't in the vocabulary fails."""
     names = rows.columns
     schema = T.StructType([T.StructField(body, T.BinaryType()) if f.name == ids else f for f in rows.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path, pattern)
+        own = decoder(path)
         for batch in batches:
             at = 0
             size = np.asarray(pc.fill_null(pc.list_value_length(batch.column(ids)), 0), np.int64)
             while at < len(size):
-                n = max(1, int(np.searchsorted(np.cumsum(size[at:]), SLICE_BYTES // 4, "right")))
+                n = max(1, int(np.searchsorted(np.cumsum(size[at:]), DECODED_IDS, "right")))
                 part = batch.slice(at, n)
                 flat = part.column(ids).flatten().to_numpy(zero_copy_only=False)
-                if len(flat) and (flat.min() < 0 or flat.max() >= len(own.ranks)):
-                    raise ValueError("an id isn't in the vocabulary")
-                out = own.decode(flat.astype(np.int32), np.concatenate([[0], np.cumsum(size[at : at + n])]))
+                out = own.decode(flat, np.concatenate([[0], np.cumsum(size[at : at + n])]))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if c == ids else part.column(c) for c in names], [body if c == ids else c for c in names])
                 at += n
 
