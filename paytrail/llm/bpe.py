@@ -11,11 +11,13 @@ A word of more than ``LONG`` bytes would take as many steps over as many rows; i
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
+import gc
 import heapq
 import itertools
 import tempfile
 from collections.abc import Iterator
-from functools import cache
 
 import duckdb
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 
 from paytrail.llm.words import slices
 
-CACHED = 400_000  # words whose ids a worker keeps
+CACHED = 300_000  # words whose ids a task keeps
 LONG = 400
 SLICE_BYTES = 2 << 20  # of text encoded at a time
 DECODED_IDS = 1 << 18  # decoded at a time, or one text's
@@ -188,16 +190,12 @@ class Decoder:
         return out
 
 
-@cache
-def tokenizer(path: str, pattern: str) -> Bpe:
-    """Built once in each Python worker."""
-    return Bpe(read_ranks(path), pattern)
-
-
-@cache
-def decoder(path: str) -> Decoder:
-    """Built once in each Python worker."""
-    return Decoder(read_ranks(path))
+def give_back() -> None:
+    """Returns what a task has freed to the system: Python workers live on, and other stages need the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,11 +205,16 @@ def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path, pattern)
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                ids, bounds = own.encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
+        own = Bpe(read_ranks(path), pattern)
+        try:
+            for batch in batches:
+                for part in slices(batch, "text", SLICE_BYTES):
+                    ids, bounds = own.encode(part.column("text").to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
+        finally:
+            own.db.close()
+            del own
+            give_back()
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -223,16 +226,21 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", body: str = "body") ->
     schema = T.StructType([T.StructField(body, T.BinaryType()) if f.name == ids else f for f in rows.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = decoder(path)
-        for batch in batches:
-            at = 0
-            size = np.asarray(pc.fill_null(pc.list_value_length(batch.column(ids)), 0), np.int64)
-            while at < len(size):
-                n = max(1, int(np.searchsorted(np.cumsum(size[at:]), DECODED_IDS, "right")))
-                part = batch.slice(at, n)
-                flat = part.column(ids).flatten().to_numpy(zero_copy_only=False)
-                out = own.decode(flat, np.concatenate([[0], np.cumsum(size[at : at + n])]))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if c == ids else part.column(c) for c in names], [body if c == ids else c for c in names])
-                at += n
+        own = Decoder(read_ranks(path))
+        try:
+            for batch in batches:
+                at = 0
+                size = np.asarray(pc.fill_null(pc.list_value_length(batch.column(ids)), 0), np.int64)
+                while at < len(size):
+                    n = max(1, int(np.searchsorted(np.cumsum(size[at:]), DECODED_IDS, "right")))
+                    part = batch.slice(at, n)
+                    flat = part.column(ids).flatten().to_numpy(zero_copy_only=False)
+                    out = own.decode(flat, np.concatenate([[0], np.cumsum(size[at : at + n])]))
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if c == ids else part.column(c) for c in names], [body if c == ids else c for c in names])
+                    at += n
+        finally:
+            own.db.close()
+            del own
+            give_back()
 
     return rows.mapInArrow(run, schema)
