@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paytrail.llm.words import ALNUM, Words, slices, words
+from paytrail.sources.scratch import pin
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
@@ -229,11 +230,22 @@ def hit_words(spans: str = "spans") -> Column:
     return total(odd) - total(even)
 
 
+def _cut(text: bytes, w: Words, spans: list) -> bytes:
+    """The text less its spans of words (start and end, disjoint and sorted)."""
+    for a, b in reversed(spans):
+        text = text[: w.start[a]] + text[w.end[b - 1] :]
+    return text
+
+
+def _words_of(text: bytes) -> Words:
+    return words(pa.array([text], pa.large_binary()).cast(pa.large_string()), ALNUM)
+
+
 def _without(text: bytes, machine: Automaton, coverage: float) -> str | None:
     """The text less its hit spans; None if more of its words than ``coverage`` were hit. What is left holds no hit."""
     n_words, gone = None, 0
     while True:
-        w = words(pa.array([text], pa.large_binary()).cast(pa.large_string()), ALNUM)
+        w = _words_of(text)
         n_words = len(w.hash) if n_words is None else n_words
         hits = machine.search(w)
         if not hits:
@@ -242,34 +254,80 @@ def _without(text: bytes, machine: Automaton, coverage: float) -> str | None:
         gone += sum(b - a for a, b in spans)
         if gone > coverage * n_words:
             return None
-        for a, b in reversed(spans):
-            text = text[: w.start[a]] + text[w.end[b - 1] :]
+        text = _cut(text, w, spans)
+
+
+def _spans(texts: DataFrame, blocks: list[Items], window: int) -> DataFrame:
+    """key, spans: the hit spans of all blocks, united; only keys with any."""
+    rows, every = texts.select(F.col("key").alias("doc_id"), "text", F.lit(0).cast("long").alias("_hash")), None
+    for block in blocks:
+        hit = _matches(rows, block, window).filter(F.size("spans") > 0).select("doc_id", "spans").dropDuplicates(["doc_id"])
+        every = hit if every is None else every.union(hit)
+    return every.groupBy(F.col("doc_id").alias("key")).agg(F.flatten(F.collect_list("spans")).alias("spans")).select("key", united(F.col("spans")).alias("spans"))
+
+
+def _changes(docs: DataFrame, blocks: list[Items], window: int, coverage: float, text: str) -> DataFrame:
+    """key (digest of a text that any block hits), new text (null if the row goes). Every round searches what the one before cut, over all blocks."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["spans"] is None:
+                    out.append(r | {"done": True})
+                    continue
+                body = r["text"].encode()
+                w, spans = _words_of(body), list(zip(r["spans"][::2], r["spans"][1::2]))
+                n_words, gone = len(w.hash) if r["n_words"] is None else r["n_words"], r["gone"] + sum(b - a for a, b in spans)
+                drop = gone > coverage * n_words
+                out.append({"key": r["key"], "text": None if drop else _cut(body, w, spans).decode(), "n_words": n_words, "gone": gone, "done": drop})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("key", pa.string()), ("text", pa.string()), ("n_words", pa.int64()), ("gone", pa.int64()), ("done", pa.bool_())]))
+
+    body = F.col(text).cast("string")
+    left, settled, how = docs.select(F.sha2(body, 256).alias("key"), body.alias("text")).filter("text is not null").dropDuplicates(["key"]), None, "inner"
+    left = left.select("key", "text", F.lit(None).cast("long").alias("n_words"), F.lit(0).cast("long").alias("gone"))
+    while True:
+        joined = left.join(_spans(left, blocks, window), "key", how)
+        step = pin(joined.mapInArrow(cut, "key string, text string, n_words long, gone long, done boolean"), "cut", left=F.count_if(~F.col("done")))
+        done = step.df.filter("done").select("key", "text")
+        settled = done if settled is None else settled.union(done)
+        if not step.extra["left"]:
+            return settled
+        left, how = step.df.filter("not done").drop("done"), "left"
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, coverage: float = 0.5, text: str = "text", length: str | None = "n_chars", most: int = BLOCK_BYTES) -> DataFrame:
     """The rows without the words that repeat a benchmark item: a run of ``window`` words or more, or a whole shorter item.
 
-    A row of whose words more than ``coverage`` repeat items of one block goes altogether. ``length`` (code points) follows where a text
-    changed; all other rows stay as they are, those with null or empty text too.
+    A row of whose words more than ``coverage`` repeat items, whichever blocks these are in, goes altogether; what is left of the others holds no
+    hit. ``length`` (code points) follows where a text changed; all other rows stay as they are, those with null or empty text too. One block
+    is searched where the rows are; with several, the hit texts are cut in rounds over all blocks and joined back by digest.
     """
-    names, out = docs.columns, docs
-    for block in item_blocks(bench, most=most):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-
-        def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            machine = _automaton(held.value, window)
-            for batch in batches:
-                for part in slices(batch, text):
-                    col = part.column(text)
-                    hits = machine.search(words(col, ALNUM))
-                    if hits:
-                        new = {i: _without(col[i].as_py().encode(), machine, coverage) for i in hits}
-                        part = part.set_column(names.index(text), part.schema.field(text), pa.array([new.get(i, t) for i, t in enumerate(col.to_pylist())], col.type))
-                        if length in names:
-                            old = part.column(length)
-                            part = part.set_column(names.index(length), part.schema.field(length), pa.array([len(new[i]) if new.get(i) is not None else n for i, n in enumerate(old.to_pylist())], old.type))
-                        part = part.filter(pa.array([i not in new or new[i] is not None for i in range(part.num_rows)]))
-                    yield part
-
-        out = out.mapInArrow(clean, docs.schema)
-    return out
+    names, blocks = docs.columns, list(item_blocks(bench, most=most))
+    if not blocks:
+        return docs
+    if len(blocks) > 1:
+        changes = _changes(docs, blocks, window, coverage, text).select(F.col("key").alias("_key"), F.struct(F.col("text").alias("to")).alias("_new"))
+        rows = docs.select(F.struct(*docs.columns).alias("_row"), F.sha2(F.col(text).cast("string"), 256).alias("_key"))
+        rows = rows.join(changes, "_key", "left").filter("_new is null or _new.to is not null")
+        hit, new = F.col("_new").isNotNull(), F.col("_new")["to"]
+        made = {text: new, **({length: F.length(new).cast(docs.schema[length].dataType)} if length in names else {})}
+        return rows.select(*[(F.when(hit, made[c]).otherwise(F.col("_row")[c]) if c in made else F.col("_row")[c]).alias(c) for c in names])
+    held = docs.sparkSession.sparkContext.broadcast(blocks[0])
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _automaton(held.value, window)
+        for batch in batches:
+            for part in slices(batch, text):
+                col = part.column(text)
+                hits = machine.search(words(col, ALNUM))
+                if hits:
+                    new = {i: _without(col[i].as_py().encode(), machine, coverage) for i in hits}
+                    part = part.set_column(names.index(text), part.schema.field(text), pa.array([new.get(i, t) for i, t in enumerate(col.to_pylist())], col.type))
+                    if length in names:
+                        old = part.column(length)
+                        part = part.set_column(names.index(length), part.schema.field(length), pa.array([len(new[i]) if new.get(i) is not None else n for i, n in enumerate(old.to_pylist())], old.type))
+                    part = part.filter(pa.array([i not in new or new[i] is not None for i in range(part.num_rows)]))
+                yield part
+
+    return docs.mapInArrow(clean, docs.schema)

@@ -242,6 +242,23 @@ def test_decontamination_equals_brute_force(spark, most):
     assert 203 not in {i for i, _ in left} and automaton.matches(df, bench.limit(0)).filter("size(items) > 0").count() == 0
 
 
+def test_block_size_does_not_change_what_is_cut(spark):
+    rng = random.Random(5)
+    runs = {k: [f"{k}{n}" for n in range(12)] for k in "abcdefgh"}
+    items = [(k, " ".join(x)) for k, x in runs.items()]
+    plain = lambda k, n: " ".join(f"own{k}x{i}" for i in range(n))
+    rows = [(i, f"{items[i][1]} {plain(i, 8)} {items[j][1]} {plain(j, 8)}") for i in range(8) for j in range(8) if i != j]  # 60 % from two items
+    rows += [(100 + 8 * i + j, f"{plain(i, 40)} {' '.join(runs['abcdefgh'[i]][:6])} {items[j][1]} {' '.join(runs['abcdefgh'[i]][6:])} {plain(j, 40)}") for i in range(8) for j in range(8) if i != j]
+    rows += [(i, t) for i, t in rows[:3]] + [(300, None), (301, ""), (302, plain(0, 30))]
+    rng.shuffle(rows)
+    df = table(spark, rows)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert len(list(automaton.item_blocks(bench, most=60))) > 1
+    one, many = (sorted(map(str, automaton.decontaminate(df, bench, most=most).collect())) for most in (automaton.BLOCK_BYTES, 60))
+    left = [r["text"] for r in automaton.decontaminate(df, bench, most=60).collect()]
+    assert one == many and len(many) == 56 + 3 and not any(brute.contamination(t, items)[1] for t in left)
+
+
 def test_query_of_decontamination(spark, docs):
     items = [(str(r["item_id"]), r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.contamination(spark, SF).collect()}
