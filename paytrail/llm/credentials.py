@@ -143,13 +143,21 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]+", 0, 16, "0123456789abcdef"),
 )
+_LINE = r"(?:[\r\n]|\\[nr])"  # the break also as written in JSON and source code
+_GAP = r"""(?:[\s"'`,;+>|#*]|\\[nrt])"""
+#: A private key up to the END line of the same kind, or else its header fields, its runs of key characters and a shorter last one.
+_PRIVATE_KEY = (
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:(?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+-----END \1PRIVATE KEY-----"
+    rf"|(?:(?:{_GAP}++[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)++(?={_GAP}++[A-Za-z0-9+/=]{{16}}))?(?:{_GAP}*+[A-Za-z0-9+/=]{{16,}}+)*+"
+    rf"(?:{_GAP}++[A-Za-z0-9+/]++=++|[^\S\r\n]*+{_LINE}{_GAP}*+[A-Za-z0-9+/=]++(?=[^\S\r\n]*+(?:{_LINE}|[\"'`]|\Z)))?)"
+)
 ADDED = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private_key", _PRIVATE_KEY),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("code_host", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})"),
     Rule("chat", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("bearer", r"(?ai:authorization)\x20*:\x20*(?ai:bearer|basic)\x20+([A-Za-z0-9+/_.=~-]+)", 1, 12),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@]{1,64}:([^\x00-\x20/@]{3,128})@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@]*:([^\x00-\x20/@]{3,})@"),
 )
 RULES = BASE + ADDED
 

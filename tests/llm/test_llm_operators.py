@@ -361,6 +361,30 @@ def test_index_misses_nothing(docs):
     assert kinds == set(range(len(credentials.RULES)))
 
 
+def test_private_keys_are_found_whole():
+    rule = next(r for r in credentials.RULES if r.kind == "private_key")
+    head, end, body = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "\n".join(["MIIEpAIBAAKCAQ+/" * 4] * 5)
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n"
+    keys = [f"{head}\n{body}\nab==\n{end}", f"{head}\n{fields}{body}\nabc\n{end}", f"{head}\n> {body}\n{end}", f"{head}\\n{body}\\nab==\\n{end}".replace("\n", "\\n"), f"{head} {body} {end}".replace("\n", " ")]
+    keys += [f"{head}\r\n{body}\r\nabc", f"{head}\n{fields}{body}\nab==", f"{head}\\n{body}\\nab==".replace("\n", "\\n"), f"{head}\n{body}\nabc\n-----END"[:-9], head.replace("RSA", "VERY " * 20 + "RSA"), head]
+    for key in keys:
+        for after in ("", "\n", "\n\nThen a line of prose.", "\nNote: a line", '", then prose'):
+            text = f'before "{key}{after}'
+            assert rule.spans(text) == [(8, 8 + len(key))], text
+            assert credentials.mask(text, credentials.find(pa.array([text]))[0]) == f'before "[SECRET]{after}'
+    two = f"{head}\n{body}\n{keys[0]} and {keys[1]}"
+    assert [two[a:b] for a, b in rule.spans(two)] == [f"{head}\n{body}", keys[0], keys[1]]
+    assert len(rule.spans(head * 20_000 + "-" * 500_000 + (body + "\n") * 5_000)) == 20_000
+
+
+def test_logins_of_any_length():
+    rule = next(r for r in credentials.RULES if r.kind == "url_login")
+    for user, word in (("", "hunter22"), ("u" * 65, "word12"), ("me", "p" * 129), ("u" * 5000, "p" * 5000)):
+        text = f"see redis://{user}:{word}@host/"
+        assert rule.spans(text) == [(4, text.index("@") + 1)] and credentials.find(pa.array([text]))[0]
+    assert not rule.spans("a://b:c@host") and not rule.spans("http://host:8080/x me@host")
+
+
 def test_trigram_queries():
     assert credentials.trigram_query("[0-9a-f]+") is True
     assert credentials.trigram_query("AKIA[A-Z0-9]+") == ("and", frozenset({b"aki", b"kia"}))
