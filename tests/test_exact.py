@@ -111,6 +111,20 @@ def test_models_and_importances_are_kept(spark, tmp_path):
     assert [r["feature"] for r in kept] == ["x", "z"] and float(kept[0]["average"]) > 0.9
 
 
+def test_the_held_out_fold_decides_the_rounds(spark):
+    noisy = F.when(F.rand(5) < 0.1, F.rand(6) < 0.5).otherwise(F.col("x") + F.col("z") > 1)
+    df = spark.range(2000).select("id", F.rand(3).alias("x"), F.rand(4).alias("z"), (F.col("id") % 2 + 1).cast("int").alias("fold")).withColumn("y", noisy.cast("int"))
+    run = lambda more: model.cross_fit(df, None, id="id", label="y", features=["x", "z"], first=1, params={"maxDepth": 2, **more})
+    loss = lambda valid: valid.agg(F.avg(F.when(F.col("y") == 1, -F.log("score")).otherwise(-F.log(1 - F.col("score"))))).first()[0]
+    (own, valid, _), (_, capped, _) = run({}), run({"maxIter": 20})
+    assert 20 < model.best_rounds(own[0]) < model.DEFAULTS["maxIter"] and loss(valid) < loss(capped)
+    points = [{"maxDepth": 1, "stepSize": 0.3}]
+    rows = model.random_search(df.withColumn("fold", F.col("fold") - 1), label="y", features=["x", "z"], fold="fold", points=points, folds=2).collect()
+    assert [r["point"] for r in rows] == [1] and rows[0]["auc"] > 0.9
+    with pytest.raises(ValueError, match="fold"):
+        model.random_search(df, label="y", features=["x", "z"], fold="fold", points=points, folds=2)
+
+
 def test_search_draws_all_bounds(spark):
     df = spark.range(120).select((F.col("id") % 10).cast("double").alias("x"), F.rand(3).alias("z"), (F.col("id") % 10 > 5).cast("int").alias("y"), (F.col("id") % 2).alias("fold"))
     points = model.draw_points(2, seed=1)
