@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytrail.llm import archives, automaton, bpe, credentials, dedup, katz, pieces, segments, severity, slots
+from paytrail.llm import anomalies, archives, audit, automaton, bpe, credentials, dedup, katz, middle, pieces, segments, severity, slots
 from paytrail.sources.scratch import scratch_dir
 
 BPE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -85,6 +85,22 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.captures(spark, out)
 
 
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = anomalies.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = middle.restore(middle.transform(table(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id", "n", "form", middle.prefix_chars().alias("prefix_chars"), middle.middle_chars().alias("middle_chars"), hex256(F.col("output")).alias("output_sha256"), hex256(F.col("restored")).alias("restored_sha256")
+    )
+
+
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_sharding": sharding,
     "op2_topk": topk,
@@ -96,6 +112,9 @@ QUERIES = {
     "op8_byte_bpe": byte_pairs,
     "op9_language_model": language_model,
     "op10_warc": warc,
+    "op11_quality": quality,
+    "op12_fill_in_middle": fill_in_middle,
+    "op13_filter_audit": filter_audit,
 }
 
 ORACLES = {
@@ -137,4 +156,43 @@ ORACLES = {
             CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
         FROM r
     """,
+    "op12_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+        h AS (
+            SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u,
+                CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d
+        ), c AS (
+            SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h
+        ), p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM p
+    """,
+    "op13_filter_audit": """
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+        l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY 1),
+        f AS (
+            SELECT part, CASE WHEN len(words) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+                || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+                || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN first < doc_id THEN 'E' ELSE '' END AS fails,
+                coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+            FROM w LEFT JOIN l USING (doc_id)
+        ), g AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+        o(p, rest) AS (SELECT '', 'ABCDE' UNION ALL SELECT p || rest[i], replace(rest, rest[i], '') FROM (SELECT p, rest, unnest(range(1, len(rest) + 1)) AS i FROM o WHERE rest <> '')),
+        s AS (SELECT p AS filter_order, unnest(range(1, 6)) AS step FROM o WHERE rest = ''),
+        x AS (
+            SELECT part, filter_order, step, good, toxic, n, fails, filter_order[step] AS letter, contains(fails, filter_order[step]) AS bad,
+                translate(fails, filter_order[1:step], '') = fails AS kept, translate(fails, filter_order[1:step - 1], '') = fails AS here
+            FROM g, s
+        ), r AS (
+            SELECT part, filter_order, step, letter, CAST(coalesce(sum(n) FILTER (kept), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (bad AND here), 0) AS BIGINT) AS removed,
+                CAST(coalesce(sum(n) FILTER (bad AND NOT here), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = letter), 0) AS BIGINT) AS unique_fails,
+                CAST(coalesce(sum(n) FILTER (bad AND here AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (bad AND here AND toxic), 0) AS BIGINT) AS toxic_lost
+            FROM x GROUP BY ALL
+        )
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+    """,
 }

@@ -94,7 +94,8 @@ class Words:
         return out
 
 
-def words(col: pa.Array, letters: np.ndarray = GRAPHIC) -> Words:
+def words(col: pa.Array, letters: np.ndarray = GRAPHIC, fold: bool = True) -> Words:
+    """``letters``: the bytes that words consist of; ``fold``: A-Z count as a-z."""
     data, offsets = utf8(col)
     n = len(data)
     inside = letters.take(data)
@@ -107,7 +108,7 @@ def words(col: pa.Array, letters: np.ndarray = GRAPHIC) -> Words:
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     power, inverse = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(np.multiply(_LOWERED.take(data), power[:n]), out=total[1:])
+    np.cumsum(np.multiply((_LOWERED if fold else _BYTE).take(data), power[:n]), out=total[1:])
     hashed = mix((total[end] - total[start]) * inverse[start])
     bounds = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
