@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paytrail.llm.words import slices, utf8
+from paytrail.llm.memory import give_back
+from paytrail.llm.words import GRAPHIC, slices, utf8
+from paytrail.llm.words import words as split
 from paytrail.sources.scratch import pin
 
 SHARD_BYTES = 8 << 20  # of text in a shard; a longer text is a shard of its own
-SLOTS = 1 << 16  # the dictionary's numbers are dealt by a hash of the word; a word occurs once a shard, so that none can fill a slot
+SLOT_BITS = 12  # words are numbered by slot of their hash; a word occurs once a shard, so that no word can fill a slot
+SLOTS = 1 << SLOT_BITS
 FILTERS = "ABCDE"
 
 _UPPER = np.zeros(256, bool)
@@ -36,15 +39,23 @@ Matrix = tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]
 
 
 def count_terms(col: pa.Array) -> Matrix:
-    """Bounds of each text's entries, the entries' columns and counts, and the words by column. Null is the empty text."""
+    """Bounds of each text's entries, the entries' columns and counts, and the words by column, those of one slot side by side. Null is the empty text."""
     lists = pc.ascii_split_whitespace(pc.fill_null(col.cast(pa.large_string()), ""))
     flat = lists.flatten()
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # texts that begin or end with white space
     doc = np.repeat(np.arange(len(col)), lists.value_lengths().to_numpy())[full]
     terms = flat.filter(pa.array(full)).dictionary_encode()
-    wide = max(len(terms.dictionary), 1)
-    pairs, counts = np.unique(doc * wide + terms.indices.to_numpy(), return_counts=True)
-    return np.searchsorted(pairs, np.arange(len(col) + 1) * wide), (pairs % wide).astype(np.int32), counts.astype(np.int32), terms.dictionary
+    order = np.argsort(slot_of(terms.dictionary), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    wide = max(len(order), 1)
+    pairs, counts = np.unique(doc * wide + place[terms.indices.to_numpy()], return_counts=True)
+    return np.searchsorted(pairs, np.arange(len(col) + 1) * wide), (pairs % wide).astype(np.int32), counts.astype(np.int32), terms.dictionary.take(pa.array(order))
+
+
+def slot_of(words: pa.Array) -> np.ndarray:
+    """Slot of each word, by a hash."""
+    return (split(words, GRAPHIC, fold=False).hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def text_flags(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,65 +72,83 @@ def text_flags(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _ROWS = ("row_id", "part", "digest", "capitals", "symbols")
 
 
+def _list(x: pa.Array | np.ndarray) -> pa.Array:
+    """One list that holds ``x``."""
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
+
+
 def _local_shards(docs: DataFrame, id: str, text: str, part: str) -> DataFrame:
-    """One row a shard, its columns numbered within the shard, with what else is known of its documents."""
+    """One row a shard, its columns numbered within the shard, with what else is known of its documents. ``words``: by slot, joined by blanks."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id).alias("row_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(body, 256)).alias("digest"), body.alias("text"))
-    schema = T.StructType(
-        [
-            T.StructField("shard", T.LongType()),
-            *[T.StructField(c, T.ArrayType(k)) for c, k in zip(_ROWS, (rows.schema["row_id"].dataType, T.StringType(), T.BinaryType(), T.BooleanType(), T.BooleanType()))],
-            T.StructField("bounds", T.ArrayType(T.IntegerType())),
-            T.StructField("columns", T.ArrayType(T.IntegerType())),
-            T.StructField("counts", T.ArrayType(T.IntegerType())),
-            T.StructField("words", T.ArrayType(T.StringType())),
-        ]
-    )
+    kinds = (rows.schema["row_id"].dataType, T.StringType(), T.BinaryType(), T.BooleanType(), T.BooleanType())
+    arrays = dict(zip(_ROWS, kinds)) | {c: T.IntegerType() for c in ("bounds", "columns", "counts")} | {"words": T.StringType()}
+    schema = T.StructType([T.StructField("shard", T.LongType()), *[T.StructField(c, T.ArrayType(k)) for c, k in arrays.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for one in slices(batch, "text", SHARD_BYTES):
-                bounds, columns, counts, words = count_terms(one.column("text"))
-                capitals, symbols = text_flags(one.column("text"))
-                cells = [one.column("row_id"), one.column("part"), one.column("digest"), capitals, symbols, bounds.astype(np.int32), columns, counts, words.cast(pa.string())]
-                cells = [x if isinstance(x, pa.Array) else pa.array(x) for x in cells]
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in cells]
-                yield pa.RecordBatch.from_arrays([pa.array([shard]), *lists], schema.names)
-                shard += 1
+        try:
+            for batch in batches:
+                for one in slices(batch, "text", SHARD_BYTES):
+                    bounds, columns, counts, words = count_terms(one.column("text"))
+                    capitals, symbols = text_flags(one.column("text"))
+                    ends = np.searchsorted(slot_of(words), np.arange(SLOTS + 1))
+                    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words.cast(pa.string())), " ")
+                    cells = (one.column("row_id"), one.column("part"), one.column("digest"), capitals, symbols, bounds.astype(np.int32), columns, counts, joined)
+                    yield pa.RecordBatch.from_arrays([pa.array([shard]), *map(_list, cells)], schema.names)
+                    shard += 1
+        finally:
+            give_back()
 
     return rows.mapInArrow(run, schema)
 
 
+def _number(messages: DataFrame) -> DataFrame:
+    """(shard, slot, words) to (shard, slot, ranks): equal words of a slot get equal ranks, in the order of the shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, known = -1, {}
+        for batch in batches:
+            lists = pc.ascii_split_whitespace(batch.column("words").cast(pa.large_string()))
+            size, terms = lists.value_lengths().to_numpy(), lists.flatten().dictionary_encode()
+            index = terms.indices.to_numpy()
+            first = np.full(len(terms.dictionary), len(index))
+            np.minimum.at(first, index, np.arange(len(index)))
+            slots = np.repeat(batch.column("slot").to_numpy(), size)[first]  # ascending: the batch is sorted, and words are in the order of their first place
+            rank = np.empty(len(first), np.int32)
+            for i, (slot, word) in enumerate(zip(slots.tolist(), terms.dictionary.to_pylist())):
+                if slot != current:
+                    current, known = slot, {}
+                rank[i] = known.setdefault(word, len(known))
+            bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("slot"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(rank[index]))], ["shard", "slot", "ranks"])
+
+    return messages.repartition("slot").sortWithinPartitions("slot", "shard").mapInArrow(run, "shard long, slot int, ranks array<int>")
+
+
 def term_matrix(docs: DataFrame, id: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
     """The matrix by shards: shard, the documents' arrays (row_id, part, digest, capitals, symbols), bounds, columns (long) and counts.
 
     Words are maximal runs without white space, case-sensitive. ``columns`` holds the words' numbers in the dictionary of all shards: equal words have
     equal numbers everywhere, different words have different ones. Two documents with one id are two rows. An empty table has no shards.
-    The dictionary's rows are (shard, place, word): what is shuffled are each shard's different words, not its tokens.
+    A shard sends its different words, not its tokens, in one message a slot; a slot's words are numbered in a stream of the messages sorted by slot, which holds
+    one slot's dictionary at a time.
     """
     local = pin(_local_shards(docs, id, text, part), "term-shards").df
-    words = local.select("shard", F.posexplode("words").alias("place", "word")).withColumn("slot", F.pmod(F.xxhash64("word"), F.lit(SLOTS)))
-    number = F.dense_rank().over(Window.partitionBy("slot").orderBy("word")).cast("long") * SLOTS + F.col("slot")
-    numbered = words.select("shard", "place", number.alias("number"))
-    places = numbered.groupBy("shard").agg(F.collect_list(F.struct("place", "number")).alias("_found"))
-    shards = local.drop("words").join(places, "shard", "left")
-    names = [c for c in shards.columns if c not in ("columns", "_found")]
+    messages = local.select("shard", F.posexplode("words").alias("slot", "words")).filter("words <> ''")
+    shards = local.drop("words")
+    names = [c for c in shards.columns if c != "columns"]
     schema = T.StructType([*[shards.schema[c] for c in names], T.StructField("columns", T.ArrayType(T.LongType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                found = one.column("_found").flatten()
-                table = np.zeros(len(found), np.int64)
-                if len(found):
-                    table[found.field("place").to_numpy(zero_copy_only=False)] = found.field("number").to_numpy(zero_copy_only=False)
-                columns = table[one.column("columns").flatten().to_numpy(zero_copy_only=False)]
-                lists = pa.ListArray.from_arrays(pa.array([0, len(columns)], pa.int32()), pa.array(columns))
-                yield pa.RecordBatch.from_arrays([*[one.column(c) for c in names], lists], schema.names)
-
-    return shards.mapInArrow(run, schema)
+    def run(one: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("slot").combine_chunks()
+        ranks = found.column("ranks").combine_chunks() if found.num_rows else pa.array([[]], pa.list_(pa.int32()))
+        slot = found.column("slot").to_numpy() if found.num_rows else np.zeros(1, np.int32)
+        table = ranks.flatten().to_numpy().astype(np.int64) * SLOTS + np.repeat(slot, ranks.value_lengths().to_numpy())
+        columns = table[one.column("columns").combine_chunks().flatten().to_numpy()]
+        return pa.table([*[one.column(c) for c in names], _list(columns)], schema=pa.schema([*[one.schema.field(c) for c in names], ("columns", pa.list_(pa.int64()))]))
+
+    return shards.groupBy("shard").cogroup(_number(messages).groupBy("shard")).applyInArrow(run, schema)
 
 
 def row_totals(matrix: DataFrame) -> DataFrame:

@@ -11,9 +11,6 @@ A word of more than ``LONG`` bytes would take as many steps over as many rows; i
 from __future__ import annotations
 
 import base64
-import contextlib
-import ctypes
-import gc
 import heapq
 import itertools
 import tempfile
@@ -28,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paytrail.llm.memory import give_back
 from paytrail.llm.words import slices
 
 CACHED = 300_000  # words whose ids a task keeps
@@ -190,14 +188,6 @@ class Decoder:
         return out
 
 
-def give_back() -> None:
-    """Returns what a task has freed to the system: Python workers live on, and other stages need the memory."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array of token ids); one row per input row. Null and empty texts have none. No shuffle.
 
