@@ -67,10 +67,9 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BPE_VOCABULARY)
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    told = ids.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_sha256", hex256(F.array_join(F.col("ids").cast("array<string>"), ",")))
-    return bpe.decode(told, path).select("doc_id", "n_tokens", "ids_sha256", hex256(F.col("body")).alias("decoded_sha256"))
+    ids = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_VOCABULARY), public_tokenizers.PATTERN, body="body")
+    told = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex256(told).alias("ids_sha256"), hex256(F.col("body")).alias("decoded_sha256"))
 
 
 def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
