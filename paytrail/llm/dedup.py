@@ -21,9 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from paytrail.llm.graph import components
+from paytrail.llm.memory import freed
 from paytrail.llm.words import mix, shingles, slices, words
 from paytrail.operators.lookup import small
 from paytrail.sources.scratch import Pinned, pin
@@ -111,11 +113,11 @@ def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
                 )
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, same string, n_shingles long, keys array<long>, sketch binary")
+    return rows.mapInArrow(freed(run), "doc_id long, same string, n_shingles long, keys array<long>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """id, same (hash of the word sequence) and distinct shingles, from (id, text)."""
+    """doc_id, same (hash of the word sequence) and distinct shingles, from (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,9 +125,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 w = words(part.column("text"))
                 s, bounds = _distinct(*shingles(w, WORDS))
                 sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(s.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), _same(w), sets], ["id", "same", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _same(w), sets], ["doc_id", "same", "shingles"])
 
-    return docs.mapInArrow(run, "id long, same string, shingles array<long>")
+    return docs.mapInArrow(freed(run), "doc_id long, same string, shingles array<long>")
 
 
 def _agreeing(a: Column, b: Column) -> Column:
@@ -145,10 +147,10 @@ def _plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def _sets(wanted: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, shingles) of the representatives named by ``wanted``. The texts stay where they are while the measured list of ids is short enough to
     be broadcast; else those asked for are shuffled."""
-    named = pin(wanted.join(reps.select("id", "same"), "id"), "wanted")
-    ids = small(Pinned(named.df.select("id"), named.rows, 16 * named.rows, {}), BROADCAST_BYTES)
-    made = shingle_sets(docs.join(ids, "id", "left_semi"))
-    return pin(made.join(named.df, ["id", "same"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"), "shingles").df
+    named = pin(wanted.join(reps.select("id", "doc_id", "same"), "id"), "wanted")
+    ids = small(Pinned(named.df.select("doc_id"), named.rows, 16 * named.rows, {}), BROADCAST_BYTES)
+    made = shingle_sets(docs.join(ids, "doc_id", "left_semi"))
+    return pin(made.join(named.df, ["doc_id", "same"]).dropDuplicates(["id"]).select("id", "shingles"), "shingles").df
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -167,7 +169,7 @@ def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
     only those that consist of little else. Parts are matched before their members: those of one part never meet.
     """
     each = sets.join(members, "id").select("id", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
-    shared = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("g"))).filter("df > 1")
+    shared = each.join(each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "g")
     own = Window.partitionBy("id")
     placed = shared.withColumn("left", F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("df", "g")) + 1)
     prefix = pin(placed.filter(100 * F.col("left") >= PERCENT * F.col("n")).select("g", "id", "part", "n", "left"), "prefixes").df
@@ -200,7 +202,7 @@ def tables(reps: DataFrame) -> DataFrame:
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, component of the representatives (id, same, n, keys, sketch) that are linked. ``docs``: (id, text) of them at least."""
+    """id, component of the representatives (id, doc_id, same, n, keys, sketch) that are linked. ``docs``: (doc_id, text) of them at least."""
     crowded = pin(tables(reps), "crowded").df
     star = crowded.filter("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pin(_plausible(star, reps), "pairs").df
@@ -217,26 +219,64 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     return components(first.unionByName(second.df)) if second.rows else parts
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept (it is that id); one row per input row.
+def _judged(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """doc_id, same, n_shingles, component_id and kept of every input row, written.
 
-    Null, empty and wordless texts have no shingle and no link. Rows without id are linked with nothing: component_id null, kept true.
-    Of the texts of one id one is linked (that of the smallest hash); rows with another text stand alone, their id being their component.
+    A class of equal texts has a number of its own, not that of a document: one doc_id may occur with several texts. Numbers follow the smallest ids,
+    since a group's first document, of which the others are copies, is the best one to pair them with.
     """
     held = pin(sketches(docs, id, text), "sketches").df
     full = held.filter("doc_id is not null and n_shingles > 0")
     classes = full.groupBy("same").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "keys", "sketch")).alias("r"))
-    reps = classes.select(F.col("r.doc_id").alias("id"), "same", "r.n", "r.keys", F.col("r.sketch").alias("sketch"))
-    reps = pin(reps.groupBy("id").agg(F.min(F.struct("same", "n", "keys", "sketch")).alias("r")).select("id", "r.*"), "classes").df
-    texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null")
-    parts = links(reps, texts)
-    named = reps.select("id", "same").join(parts, "id", "left").select("same", F.coalesce("component", "id").alias("component_id"))
-    found = held.withColumn("same", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("same"))).join(named, "same", "left")
-    whole = F.coalesce("component_id", "doc_id")  # a text whose id is represented by another text has no class of its own
-    return found.select("doc_id", "n_shingles", whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(True)).alias("kept"))
+    ordered = classes.select("same", "r.*").orderBy("doc_id", "same")
+    reps = pin(ordered.select(F.monotonically_increasing_id().alias("id"), "*"), "classes").df
+    texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
+    member = reps.select("id", "doc_id", "same").join(links(reps, texts), "id", "left")
+    lowest = member.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("lowest"))
+    named = member.join(lowest, "component", "left").select(F.col("same").alias("_same"), F.coalesce("lowest", "doc_id").alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("same"))
+    found = held.select("doc_id", "same", "n_shingles", own.alias("_same")).join(named, "_same", "left")
+    whole = F.coalesce("component_id", "doc_id")  # rows without shingles
+    kept = F.coalesce(F.col("doc_id") == whole, F.lit(True))
+    return pin(found.select("doc_id", "same", "n_shingles", whole.alias("component_id"), kept.alias("kept")), "judged").df
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept (it is that id); one row per input row.
+
+    Ids are integers. Null, empty and wordless texts have no shingle and no link. Rows without id are linked with nothing: component_id null, kept true.
+    One id with several texts is that many documents, each with the links of its own text.
+    """
+    return _judged(docs, id, text).drop("same")
+
+
+def _with_same(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """The rows with the hash of their text's word sequence."""
+    names = [*docs.columns, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                yield pa.RecordBatch.from_arrays([*part.columns, _same(words(part.column(text).cast(pa.string())))], names)
+
+    return docs.mapInArrow(freed(run), T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: that of the smallest id. Rows that repeat an id count once; rows without id all stay."""
-    kept = near_duplicates(docs, id, text).filter("doc_id is not null and kept").select(F.col("doc_id").alias(id)).distinct()
-    return docs.join(kept, id, "left_semi").dropDuplicates([id]).unionByName(docs.filter(F.col(id).isNull()))
+    """One row of each group of near-duplicates: that of the smallest id. Rows that repeat id and words count once; rows without id all stay.
+
+    The texts stay where they are while the measured list of the ids that go, or that occur more than once, is short enough to be broadcast. Only rows of repeated
+    ids are looked at text by text.
+    """
+    judged = _judged(docs, id, text).filter("doc_id is not null")
+    ids = judged.groupBy(F.col("doc_id").alias(id)).agg(F.count(F.lit(1)).alias("_n"), F.every("kept").alias("_kept"))
+    apart = pin(ids.filter("_n > 1 or not _kept").select(id, "_n"), "apart", repeated=F.count_if(F.col("_n") > 1))
+    listed = small(Pinned(apart.df.select(id), apart.rows, 16 * apart.rows, {}), BROADCAST_BYTES)
+    out = docs.join(listed, docs[id].cast("long") == listed[id], "left_anti")
+    if not apart.extra["repeated"]:
+        return out
+    names = docs.columns
+    twice = apart.df.filter("_n > 1").select(F.col(id).alias("_id"))
+    rows = _with_same(docs.withColumn("_id", F.col(id).cast("long")).join(twice, "_id", "left_semi"), text, "_same")
+    stay = judged.filter("kept").select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).distinct()
+    return out.unionByName(rows.join(stay, ["_id", "_same"], "left_semi").dropDuplicates(["_id", "_same"]).select(*names))
