@@ -198,6 +198,19 @@ def test_near_duplicates_equal_brute_force(spark, near):
     assert got == brute.near_duplicates(near)
 
 
+def test_one_id_with_several_texts(spark):
+    """No link of a text is lost, and no text, where its id also stands for another text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (5, a), (6, a + " more"), (1, a), (0, c), (1, c + " more"), (9, b), (None, a), (7, ""), (7, None), (7, "x")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in dedup.near_duplicates(table(spark, rows)).filter("doc_id is not null").collect())
+    assert got == [(0, 0, True), (1, 0, False), (1, 1, True), (1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False), (7, 7, True), (7, 7, True), (7, 7, True), (9, 1, False)]
+    kept = dedup.keep_first(table(spark, rows))
+    assert kept.columns == table(spark, rows).columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.filter("doc_id <> 7 or text = 'x'").collect()) == [(0, c), (1, a), (1, b), (7, "x")]
+    assert kept.filter("doc_id is null").count() == 1 and kept.filter("doc_id = 7").count() == 2
+    assert dedup.keep_first(table(spark, [])).collect() == []
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [tuple(r) for r in dedup.near_duplicates(table(spark, ODD)).collect()]
     by = {r[0]: r[1:] for r in rows}
@@ -424,10 +437,14 @@ def test_bpe_equals_the_public_library(spark, docs):
     rng = random.Random(6)
     odd = ["", None, "a" * 399 + "b", "ab" * 700, "\n\n \t x", "<|endoftext|>", "日本語テキスト😀" * 40, "".join(chr(rng.randrange(32, 1500)) for _ in range(3000)), "it's we'LL 1234567  x"]
     texts = [t for _, t in docs[:80]] + odd
-    own = bpe.Bpe(ranks, public_tokenizers.PATTERN)
-    ids, bounds = own.encode(texts)
+    with bpe.Bpe(bpe.vocabulary(ranks), public_tokenizers.PATTERN) as own:
+        ids, bounds = own.encode(texts)
+    with own:  # again, with the words that were kept
+        assert all(np.array_equal(a, b) for a, b in zip(own.encode(texts), (ids, bounds)))
+        own.forget(7)
+        assert all(np.array_equal(a, b) for a, b in zip(own.encode(texts), (ids, bounds)))
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [public.encode_ordinary(t or "") for t in texts]
-    assert bpe.Decoder(ranks).decode(ids, bounds) == [(t or "").encode() for t in texts]
+    assert bpe.Decoder(ranks).decode(ids, bounds).to_pylist() == [(t or "").encode() for t in texts]
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.byte_pairs(spark, SF).collect()}
     sha = lambda b: hashlib.sha256(b).hexdigest()
     for i, t in docs:
@@ -437,7 +454,7 @@ def test_bpe_equals_the_public_library(spark, docs):
 
 def test_contraction_follows_ranks_not_order():
     tokens = [bytes([b]) for b in range(256)] + [b"bc", b"abc", b"ab", b"abcd", b"cd", b"aa", b"aaa"]
-    own = bpe.Bpe({t: r for r, t in enumerate(tokens)}, r".+")
+    own = bpe.Bpe(bpe.vocabulary({t: r for r, t in enumerate(tokens)}), r".+")
 
     def plain(word):
         parts = [bytes([b]) for b in word]
@@ -450,7 +467,8 @@ def test_contraction_follows_ranks_not_order():
 
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(5, 30))) for _ in range(300)]
-    ids, bounds = own.encode(texts)
+    with own:
+        ids, bounds = own.encode(texts)
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain(t.encode()) for t in texts]
     assert all(own._heap(t.encode()) == plain(t.encode()) for t in texts)
 

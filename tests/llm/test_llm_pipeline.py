@@ -84,4 +84,4 @@ def test_pipeline_is_registered(spark, stages):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     rows = corpus_pipeline.run(spark, SF).toArrow().to_pylist()
     assert sorted(rows, key=lambda r: r["doc_id"]) == sorted(stages[-1][1], key=lambda r: r["doc_id"])
-    assert [n for n in entry.queries() if n.startswith("op")] == [f"op{n}_{x}" for n, x in enumerate("sharding topk near_duplicates decontamination token_counts toxicity secrets byte_bpe language_model warc".split(), 1)]
+    assert [n for n in entry.queries() if n.startswith("op")] == [f"op{n}_{x}" for n, x in enumerate("sharding topk near_duplicates decontamination token_counts toxicity secrets byte_bpe language_model warc quality fill_in_middle filter_audit".split(), 1)]
