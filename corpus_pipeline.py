@@ -33,10 +33,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the digest of the text decoded from the ids."""
-    path = public_tokenizers.path(queries.BPE_VOCABULARY)
-    ids = bpe.encode(docs, path, public_tokenizers.PATTERN).withColumn("decoded", F.col("ids"))
-    text = bpe.decode(ids, path, ids="decoded", body="decoded")
-    return text.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = bpe.encode(docs, public_tokenizers.path(queries.BPE_VOCABULARY), public_tokenizers.PATTERN, body="decoded")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
