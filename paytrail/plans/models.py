@@ -133,6 +133,12 @@ def _(spark, sf):
     return model.random_search(m, label="y", features=_FEATURES, fold="fold0", points=model.draw_points(_POINTS, seed=42), folds=_SEARCH_FOLDS, parallelism=8)
 
 
+@query("guided_search")
+def _(spark, sf):
+    m = _matrix(spark, sf).withColumn("fold0", F.pmod(F.col("fold") - 1, F.lit(_SEARCH_FOLDS)))
+    return model.guided_search(m, label="y", features=_FEATURES, fold="fold0", fits=_POINTS * _SEARCH_FOLDS, folds=_SEARCH_FOLDS, seed=42, parallelism=8)
+
+
 @query("ablation")
 def _(spark, sf):
     m = _matrix(spark, sf)

@@ -1,5 +1,6 @@
 """Values that must not merge, overflow or leak: texts of doubles, counts, null entities, unfinished folders."""
 
+import math
 import os
 
 import pytest
@@ -114,10 +115,10 @@ def test_models_and_importances_are_kept(spark, tmp_path):
 def test_the_held_out_fold_decides_the_rounds(spark):
     noisy = F.when(F.rand(5) < 0.1, F.rand(6) < 0.5).otherwise(F.col("x") + F.col("z") > 1)
     df = spark.range(2000).select("id", F.rand(3).alias("x"), F.rand(4).alias("z"), (F.col("id") % 2 + 1).cast("int").alias("fold")).withColumn("y", noisy.cast("int"))
-    run = lambda more: model.cross_fit(df, None, id="id", label="y", features=["x", "z"], first=1, params={"maxDepth": 2, **more})
+    run = lambda more: model.cross_fit(df, None, id="id", label="y", features=["x", "z"], first=1, params={"maxDepth": 2, "stepSize": 0.5, "patience": 4, **more})
     loss = lambda valid: valid.agg(F.avg(F.when(F.col("y") == 1, -F.log("score")).otherwise(-F.log(1 - F.col("score"))))).first()[0]
-    (own, valid, _), (_, capped, _) = run({}), run({"maxIter": 20})
-    assert 20 < model.best_rounds(own[0]) < model.DEFAULTS["maxIter"] and loss(valid) < loss(capped)
+    (own, valid, _), (_, capped, _) = run({}), run({"maxIter": 6})
+    assert 6 < model.best_rounds(own[0]) < model.DEFAULTS["maxIter"] and loss(valid) < loss(capped)
     points = [{"maxDepth": 1, "stepSize": 0.3}]
     rows = model.random_search(df.withColumn("fold", F.col("fold") - 1), label="y", features=["x", "z"], fold="fold", points=points, folds=2).collect()
     assert [r["point"] for r in rows] == [1] and rows[0]["auc"] > 0.9
@@ -125,6 +126,49 @@ def test_the_held_out_fold_decides_the_rounds(spark):
         model.random_search(df, label="y", features=["x", "z"], fold="fold", points=points, folds=2)
 
 
+def test_kept_round_is_the_minimum_of_the_curve(spark):
+    noisy = F.when(F.rand(5) < 0.3, F.rand(6) < 0.5).otherwise(F.col("x") + F.col("z") > 1)
+    df = spark.range(1200).select("id", F.rand(3).alias("x"), F.rand(4).alias("z"), (F.col("id") % 3 == 0).alias("held")).withColumn("y", noisy.cast("int"))
+    rows = model.assemble(df, ["x", "z"]).cache()
+    own, curve = model.fit_curve(rows, "y", "held", {"maxDepth": 3, "patience": 4})
+    best = model.best_rounds(own)
+    assert curve[best - 1] == min(curve) and len(curve) - best >= 4 and len(curve) in (8, 16, 32, 64, 128, 256, 512)
+    assert len(curve) == 8 or best > len(curve) // 2 - 4  # half as many rounds had not been enough
+    scored = model.positive(own, rows.filter("held")).select(F.avg(F.when(F.col("y") == 1, -F.log("score")).otherwise(-F.log(1 - F.col("score")))))
+    assert 2 * scored.first()[0] == pytest.approx(min(curve), rel=1e-6)  # the learner's loss is twice the mean negative log-likelihood
+    whole = model.learner("y", {"maxDepth": 3, "maxIter": best}).fit(rows.filter("not held").withColumn("y", F.col("y").cast("double")))
+    pick = lambda m: [r["score"] for r in model.positive(m, rows).orderBy("id").collect()]
+    assert pick(whole) == pick(own) and own.featureImportances == whole.featureImportances
+    with pytest.raises(ValueError, match="held"):
+        model.fit_curve(rows.withColumn("held", F.lit(None).cast("boolean")), "y", "held")
+
+
+def test_guided_search_beats_random_points_on_a_known_surface():
+    """At equal fits, over ten seeds: a peak in two parameters, one without effect, and folds that differ by noise."""
+    space = {"a": (0.0, 1.0), "b": (2, 40), "c": (0.0, 1.0)}
+    noise = lambda p, k: 0.01 * math.sin(1e4 * (p["a"] + 3 * p["c"]) + k)
+    true = lambda p: 0.9 - (p["a"] - 0.7) ** 2 - ((p["b"] - 11) / 38) ** 2
+    judge = lambda jobs: [true(p) + noise(p, k) for p, k in jobs]
+    ours, theirs = [], []
+    for seed in range(10):
+        spent = []
+        trials = model.guided(lambda jobs: spent.extend(jobs) or judge(jobs), fits=60, folds=3, seed=seed, space=space)
+        assert len(spent) == sum(len(s) for _, s in trials) == 60
+        full = [p for p, s in trials if len(s) == 3]
+        ours.append(true(max(full, key=lambda p: sum(judge([(p, k) for k in range(3)])))))
+        points = model.draw_points(20, seed, space)
+        theirs.append(true(max(points, key=lambda p: sum(judge([(p, k) for k in range(3)])))))
+    assert sum(ours) >= sum(theirs) and all(2 <= p["b"] <= 40 and isinstance(p["b"], int) for p, _ in trials)
+    assert model.guided(judge, fits=20, folds=2, seed=1, space=space) == model.guided(judge, fits=20, folds=2, seed=1, space=space)
+
+
+def test_guided_search_fits_and_halves(spark):
+    df = spark.range(200).select((F.col("id") % 10).cast("double").alias("x"), F.rand(3).alias("z"), (F.col("id") % 10 > 5).cast("int").alias("y"), (F.col("id") % 2).alias("fold"))
+    space = {"maxDepth": (1, 2), "stepSize": (0.1, 0.3)}
+    rows = model.guided_search(df, label="y", features=["x", "z"], fold="fold", fits=6, folds=2, seed=3, space=space, batch=4, parallelism=4, params={"maxIter": 2}).collect()
+    assert [r["folds"] for r in rows].count(2) == 2 and sum(r["folds"] for r in rows) == 6 and all(r["auc"] > 0.5 for r in rows)
+
+
 def test_search_draws_all_bounds(spark):
     df = spark.range(120).select((F.col("id") % 10).cast("double").alias("x"), F.rand(3).alias("z"), (F.col("id") % 10 > 5).cast("int").alias("y"), (F.col("id") % 2).alias("fold"))
     points = model.draw_points(2, seed=1)

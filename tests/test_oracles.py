@@ -9,7 +9,7 @@ from pyspark.sql import DataFrameWriter
 import __spark_entry__ as entry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-FLOW = {"feature_matrix", "score_flow", "random_search"}  # see test_flow.py, and test_exact.py for a short search
+FLOW = {"feature_matrix", "score_flow", "random_search", "guided_search"}  # see test_flow.py, and test_exact.py for a short search
 
 
 @pytest.fixture(scope="module")
