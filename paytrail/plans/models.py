@@ -155,8 +155,11 @@ def _(spark, sf):
     return score_flow.build_matrix(train, test, vector_size=_SIZE, **_DAYS)
 
 
+_ROUNDS = 64  # of the flow's fits at most: on its wide matrix the held-out loss may fall for hundreds of rounds, each a job a tree level
+
+
 @query("score_flow")
 def _(spark, sf):
     train, test = payment_parts(spark, sf)
-    scores, _ = score_flow.score(score_flow.build_matrix(train, test, vector_size=_SIZE, **_DAYS), first=3)
+    scores, _ = score_flow.score(score_flow.build_matrix(train, test, vector_size=_SIZE, **_DAYS), first=3, params={"maxIter": _ROUNDS})
     return scores
