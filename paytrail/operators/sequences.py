@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from paytrail.operators.lookup import attach
 from paytrail.operators.ordinal import CHUNK_ROWS, over_timeline, with_halo, with_ordinal
 
 
@@ -75,3 +76,18 @@ def neighbour_count(
     if skip_first:
         seen = F.when(F.col("_rn") <= skip_first, F.lit(0)).otherwise(seen)
     return halo.withColumn(name, seen).filter("_own").drop("_rn", "_chunk", "_own")
+
+
+def next_day_totals(df: DataFrame, entity: str, day: str, value: str, *, limits: Mapping[str, int] | None = None, **kw) -> DataFrame:
+    """Totals of the entity's next day with rows: ``<entity>_next_day`` (days until it), ``_next_sum`` and ``_next_cnt`` of the known values.
+
+    The rows are reduced to one per entity and day, the next day is read on that table (entities with very many days in chunks), and rows look their own day
+    up: no pair of rows is formed. Null on an entity's last day, and without entity or day.
+    """
+    known = df.filter(F.col(entity).isNotNull() & F.col(day).isNotNull())
+    daily = known.groupBy(entity, day).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"), F.count(F.lit(1)).alias("_w"))
+    ahead = {"day": F.col(day), "sum": F.col("_s"), "cnt": F.col("_c")}
+    names = {k: f"{entity}_next_{k}" for k in ahead}
+    coming = over_timeline(daily, entity, [day], lambda w: [F.lead(c, 1).over(w).alias(names[k]) for k, c in ahead.items()], reach=1, **kw)
+    table = coming.withColumn(names["day"], F.col(names["day"]) - F.col(day)).drop("_s", "_c")
+    return attach(df, table, [entity, day], weight="_w", **(limits or {})).drop("_w")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paytrail.functions.keys import cross, number_text
-from paytrail.operators import embed, encode
+from paytrail.operators import embed, encode, fitted
 from paytrail.plans.fixtures import P, payments, rounded, table
 from paytrail.plans.registry import query
+from paytrail.sources.scratch import scratch_dir
 
 _LABELLED = ["priority", "card1", "card2", "card4", "p_email", "id_31"]
 
@@ -189,3 +192,35 @@ def _(spark, sf):
 def _(spark, sf):
     out = embed.expand_vector(embed.mean_vector(table(spark, sf, "embeddings"), "label", "embedding", 64), "mean_vector", 64, "m")
     return out.select("label", *[rounded(f"m_{i}").alias(f"m_{i}") for i in range(64)])
+
+
+# ---- encoders fitted on one split, saved, loaded, and put on the other
+
+_SEEN = ["priority", "card2", "card4"]
+_TEXT = "coalesce(CAST({c} AS VARCHAR), 'nan')"
+
+
+def _fitted_sql() -> str:
+    dictionary = ", ".join(
+        f"k_{c} AS (SELECT val, dense_rank() OVER (ORDER BY val) - 1 AS code, n FROM (SELECT {_TEXT.format(c=c)} AS val, count(*) AS n FROM tr GROUP BY 1))" for c in _SEEN
+    )
+    slot = "greatest(len(list_filter(e, lambda z: z < least(greatest({x}, e[1]), e[-1]))) - 1, 0)"
+    columns = ", ".join(f"coalesce(k_{c}.code, -1) AS {c}_code, coalesce(k_{c}.n, 0) AS {c}_count" for c in _SEEN)
+    joins = " ".join(f"LEFT JOIN k_{c} ON k_{c}.val = {_TEXT.format(c='te.' + c)}" for c in _SEEN)
+    return (
+        f"WITH {P}, tr AS (SELECT * FROM p WHERE split = 'train'), te AS (SELECT * FROM p WHERE split = 'test'), {dictionary}, "
+        f"e AS (SELECT list_sort(list_distinct(quantile_cont(amt, [{', '.join(repr(i / 32) for i in range(33))}]))) AS e FROM tr), "
+        f"b AS (SELECT list_distinct(list({slot.format(x='amt')})) AS b FROM tr, e) "
+        f"SELECT id, {columns}, greatest(len(list_filter(b, lambda z: z <= {slot.format(x='amt')})) - 1, 0) AS amt_bin FROM te {joins}, e, b"
+    )
+
+
+@query("fitted_encoders", _fitted_sql())
+def _(spark, sf):
+    p = payments(spark, sf).select("id", "split", "amt", *_SEEN)
+    train, test = p.filter("split = 'train'"), p.filter("split = 'test'")
+    folder = f"{scratch_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/encoders-{uuid.uuid4().hex}"
+    kinds = (fitted.LabelCodes(_SEEN, ["id"]), fitted.Frequencies(_SEEN, ["id"]), fitted.QuantileBins(["amt"], 32))
+    for i, kind in enumerate(kinds):
+        test = fitted.saved(kind.fit(train), f"{folder}/{i}").transform(test)
+    return test.drop("split", "amt", *_SEEN)

@@ -88,6 +88,16 @@ def gap_prev_next(spark, sf):
     return out.drop("uid", "dt")
 
 
+@query(
+    "next_day_totals",
+    f"WITH {T}, d AS (SELECT uid, day, sum(v) AS s, count(v) AS c FROM t GROUP BY 1, 2), "
+    "n AS (SELECT uid, day, lead(day) OVER w - day AS uid_next_day, CAST(lead(s) OVER w AS BIGINT) AS uid_next_sum, lead(c) OVER w AS uid_next_cnt FROM d WINDOW w AS (PARTITION BY uid ORDER BY day)) "
+    "SELECT id, uid_next_day, uid_next_sum, uid_next_cnt FROM t LEFT JOIN n USING (uid, day)",
+)
+def _(spark, sf):
+    return sequences.next_day_totals(events(spark, sf).select("id", "uid", "day", "v"), "uid", "day", "v").drop("uid", "day", "v")
+
+
 @query("amount_diff", f'WITH {T} SELECT id, v - lead(v) {_LINE} AS "uid_v_diff_time-1", v - lag(v) {_LINE} AS uid_v_diff_time1 FROM t')
 def _(spark, sf):
     out = sequences.shift_diffs(events(spark, sf).select("id", "uid", "dt", "v"), "uid", ["dt", "id"], ["v"])
