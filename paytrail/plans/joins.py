@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paytrail.operators import lookback as lb
@@ -10,6 +12,8 @@ from paytrail.operators.encode import min_max
 from paytrail.operators.evaluate import all_bad_entities, turned_bad_entities
 from paytrail.plans.fixtures import L, P, R, T, events, payments, rounded, table, with_balance, with_gap
 from paytrail.plans.registry import query
+from paytrail.sources.daily import DailyState
+from paytrail.sources.scratch import scratch_dir
 
 @query(
     "join_identity",
@@ -196,6 +200,24 @@ def lookback_fallback(spark, sf):
     return _encode(spark, sf, offsets=(0, 1), pick="first")
 
 
+@query(
+    "lookback_state",
+    f"WITH {T}, {L}, {_DAILY}, j AS (SELECT l.id, coalesce(a.s, b.s) AS s, coalesce(a.c, b.c) AS c FROM l "
+    "LEFT JOIN a ON a.uid = l.uid AND a.day = l.day - l.dn LEFT JOIN a AS b ON b.uid = l.uid AND b.day = l.day - l.dn + 1 "
+    f"WHERE l.dn >= 1) SELECT id, {_OUT} FROM j",
+)
+def _(spark, sf):
+    """As ``lookback_fallback``, from totals that were stored up to day 14, merged into one batch, and extended by the days after it."""
+    e = events(spark, sf)
+    folder = f"{scratch_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/daily-{uuid.uuid4().hex}"
+    state = DailyState(spark, folder, "uid", "day", "y")
+    state.add("week-1", e.filter("day <= 7"))
+    state.add("week-2", e.filter("day > 7 and day <= 14"))
+    state.compact("weeks-1-2")
+    state.add("rest", e.filter("day > 14"))
+    return _encode(spark, sf, offsets=(0, 1), pick="first", daily=state.read())
+
+
 @query(
     "lookback_windowed",
     f"WITH {T}, {L}, {_DAILY} SELECT l.id, {_OUT} FROM l LEFT JOIN a ON a.uid = l.uid AND a.day = l.day - l.dn "
