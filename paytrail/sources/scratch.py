@@ -29,6 +29,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this application that nothing was written to."""
+    return f"{scratch_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class Pinned:
     df: DataFrame
@@ -53,7 +58,7 @@ def pin(df: DataFrame, name: str = "table", **extra: Column) -> Pinned:
     The figures are observed during the write, so they cost no further job.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     seen = Observation(f"pin-{uuid.uuid4().hex}")
     width = sum((payload_width(f) for f in df.schema.fields), F.lit(0))
     watched = df.observe(
