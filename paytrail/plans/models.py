@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytrail.operators import embed, folds, groups, model, reduce, sequences
+from paytrail.operators import embed, factors, folds, groups, model, reduce, sequences
 from paytrail.operators.relational import fill_by_type
 from paytrail.plans import score_flow
 from paytrail.plans.fixtures import P, events, payment_parts, payments, rounded, table
@@ -50,6 +50,12 @@ def _(spark, sf):
     return reduce.truncated_svd(p.filter("split = 'train'"), p, _CARDS, 2).select("id", "tsvd_1", "tsvd_2")
 
 
+@query("ica_cards")
+def _(spark, sf):
+    p = fill_by_type(payments(spark, sf).select("id", "split", *_CARDS), cols=_CARDS)
+    return reduce.fit_ica(p.filter("split = 'train'"), _CARDS, 2).transform(p).select("id", "ica_1", "ica_2")
+
+
 _WEIGHTS = {"grp": reduce.gaussian_weights(len(_CARDS), 2), "srp": reduce.sparse_weights(len(_CARDS), 2)}
 _SUMS = ", ".join(
     "round(" + (" + ".join(f"coalesce({c}, -1) * {float(x)!r}" for c, x in zip(_CARDS, w[:, j]) if x) or "0.0") + f", 6) AS {name}_{j + 1}"
@@ -88,6 +94,33 @@ def _(spark, sf):
     return embed.embed_token(p.select("id", "card2_card4"), "card2_card4", learned, _SIZE, spread=["id"])
 
 
+def _sentences(spark: SparkSession, sf: str) -> DataFrame:
+    p = payments(spark, sf)
+    p = p.select("id", "priority", "card4", "m1", "m2", embed.group_token(p, ["card2", "card4"]).alias("card2_card4"))
+    return p.select("id", "card2_card4", embed.sentence(p, _TOKENS).alias("tokens"))
+
+
+@query(
+    "token_associations",
+    f"WITH {P}, q AS (SELECT id, priority, card4, m1, m2, 'g_' || coalesce(CAST(card2 AS VARCHAR), 'nan') || '_' || coalesce(card4, 'nan') AS card2_card4 FROM p), "
+    f"w AS (SELECT id, unnest([{_SENTENCE}]) AS token, unnest(range(0, {len(_TOKENS)})) AS i FROM q), "
+    "n AS (SELECT a.token AS word, b.token AS near, count(*) AS n FROM w a JOIN w b ON a.id = b.id AND a.i <> b.i GROUP BY 1, 2), "
+    "m AS (SELECT word, sum(n) AS m FROM n GROUP BY 1), "
+    "s AS (SELECT word, near, ln(n * (SELECT CAST(sum(n) AS DOUBLE) FROM n) / (CAST(m.m AS DOUBLE) * k.m)) AS weight FROM n JOIN m USING (word) JOIN (SELECT word AS near, m FROM m) k USING (near)) "
+    "SELECT word, near, round(weight, 6) AS weight FROM s WHERE round(weight, 6) > 0",
+)
+def _(spark, sf):
+    cells = factors.associations(factors.cooccurrence(_sentences(spark, sf), "tokens", window=len(_TOKENS)))
+    return cells.select("word", "near", rounded("weight").alias("weight")).filter("weight > 0")
+
+
+@query("token_factors")
+def _(spark, sf):
+    s = _sentences(spark, sf)
+    learned = factors.token_factors(s, "tokens", size=_SIZE, window=len(_TOKENS))
+    return embed.embed_token(s.select("id", "card2_card4"), "card2_card4", learned, _SIZE, spread=["id"])
+
+
 _KNOWN = ", ".join(f"round(coalesce(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 0.0), 6) AS m_{i}" for i in range(64))
 
 
