@@ -10,12 +10,14 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from paytrail.sources.scratch import pin
+from paytrail.sources.sinks import finished
 
 SLOTS = 8192
 MAP_SCHEMA = T.StructType([T.StructField("virtual_slot", T.IntegerType(), False), T.StructField("shard", T.IntegerType(), False)])
@@ -102,8 +104,11 @@ def as_table(spark: SparkSession, rows: dict[int, int]) -> DataFrame:
 
 
 def write_map(spark: SparkSession, rows: dict[int, int], folder: str, version: int) -> None:
-    """Stores a version; an existing one is never overwritten."""
-    as_table(spark, rows).coalesce(1).write.parquet(f"{folder.rstrip('/')}/version={version}")
+    """Stores a version; a finished one is never overwritten."""
+    path = f"{folder.rstrip('/')}/version={version}"
+    if finished(spark, path):
+        raise ValueError(f"version {version} exists in {folder}")
+    as_table(spark, rows).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def read_map(spark: SparkSession, folder: str, version: int) -> dict[int, int]:
@@ -150,17 +155,44 @@ def place(rows: DataFrame, table: Iterable[tuple[int, int]] | dict[int, int], or
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, folder: str | None = None, version: int = 1) -> DataFrame:
+def latest_version(spark: SparkSession, folder: str) -> int:
+    """The last version; 0 if there is none. A version is one file, which is there whole or not at all."""
+    try:
+        stored = spark.read.schema(T.StructType([*MAP_SCHEMA.fields, T.StructField("version", T.IntegerType())])).parquet(folder)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return 0
+    return stored.agg(F.max("version")).first()[0] or 0
+
+
+def next_map(spark: SparkSession, totals: Totals, shards: int, folder: str) -> tuple[dict[int, int], int]:
+    """The map for the slots' present totals and its version in ``folder``.
+
+    An empty folder gets a new map as version 1. Later the last version is edited; if that moves a slot, the result is stored as the next
+    version, else the last one still holds. A version that was cut off while it was written is written again.
+    """
+    last = latest_version(spark, folder)
+    now = read_map(spark, folder, last) if last else {}
+    table = edit_map(now, totals, shards) if last else new_map(totals, shards)
+    if table == now:
+        return now, last
+    write_map(spark, table, folder, last + 1)
+    return table, last + 1
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, folder: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version; one row per input row, texts read once.
 
-    ``law`` is ``bytes``: the slots' bytes decide the map, so the sizes of the shards are near equal. ``folder``: where the map is stored.
+    ``law`` is ``bytes``: the slots' bytes decide the map, so the sizes of the shards are near equal. ``folder``: where the map is stored by
+    version; a stored one is edited, so that rows stay in their shards but for the few slots that even the sizes out or leave a shard that is
+    given up. Without a folder the map is made anew and nothing is stored (version 0).
     Null texts count as empty; null ids share a slot; an empty table gives no row and a map all the same.
     """
     spark = docs.sparkSession
     rows = pin(row_sizes(docs), "row-sizes").df
-    table = new_map(slot_totals(rows, "size"), shards)
-    if folder:
-        write_map(spark, table, folder, version)
+    totals = slot_totals(rows, "size")
+    table, version = next_map(spark, totals, shards, folder) if folder else (new_map(totals, shards), 0)
     return place(rows, table).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version")
     )

@@ -113,6 +113,36 @@ def test_shards(spark, docs, tmp_path):
         slots.write_map(spark, stored, folder, 1)
 
 
+def test_stored_map_is_edited_when_data_change(spark, tmp_path):
+    folder = str(tmp_path / "map")
+    rows = [(i, "x" * (i * 37 % 400)) for i in range(6000)]
+    run = lambda r, shards: slots.shard_documents(table(spark, r), shards, folder).collect()
+    load = lambda got: [sum(r["size"] for r in got if r["shard"] == s) for s in range(max(x["shard"] for x in got) + 1)]
+    first = run(rows, 6)
+    assert {r["map_version"] for r in first} == {1} and slots.latest_version(spark, folder) == 1
+    same = run(rows, 6)  # nothing to move: no new version
+    assert {r["map_version"] for r in same} == {1} and slots.latest_version(spark, folder) == 1
+    assert {r["doc_id"]: r["shard"] for r in same} == {r["doc_id"]: r["shard"] for r in first}
+    full = {r["doc_id"] for r in first if r["shard"] == 2}
+    more = [(i, t * 2 if i in full else t) for i, t in rows]  # one shard has grown
+    second, before = run(more, 6), {r["doc_id"]: r["shard"] for r in first}
+    moved = [r["doc_id"] for r in second if r["shard"] != before[r["doc_id"]]]
+    assert {r["map_version"] for r in second} == {2} and 0 < len(moved) < 0.2 * len(rows) and len(set(moved) - full) < 0.1 * len(moved)
+    assert max(load(second)) - min(load(second)) <= 2000
+    (tmp_path / "map" / "version=3").mkdir()  # cut off while it was written
+    wider, before = run(more, 7), {r["doc_id"]: r["shard"] for r in second}
+    moved = [r["doc_id"] for r in wider if r["shard"] != before[r["doc_id"]]]
+    assert {r["map_version"] for r in wider} == {3} and 0 < len(moved) < 0.3 * len(rows)
+    assert max(load(wider)) - min(load(wider)) <= 2000 and slots.read_map(spark, folder, 3) != slots.read_map(spark, folder, 2)
+    fewer, before = run(more, 5), {r["doc_id"]: r["shard"] for r in wider}
+    assert {r["shard"] for r in fewer} == set(range(5)) and {r["map_version"] for r in fewer} == {4}
+    assert sum(r["shard"] != before[r["doc_id"]] for r in fewer) < 0.5 * len(rows)
+    for s in range(5):
+        own = sorted(r["slot"] for r in fewer if r["shard"] == s)
+        assert own == list(range(len(own)))
+    assert {r["map_version"] for r in slots.shard_documents(table(spark, rows), 6).collect()} == {0}
+
+
 def test_maps_are_edited_not_remade():
     rng = random.Random(5)
     totals = {s: rng.randint(1, 1000) for s in range(2000)}
