@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paytrail.llm.memory import freed
+from paytrail.llm.memory import map_texts
 from paytrail.llm.words import ALNUM, Words, slices, words
 from paytrail.sources.scratch import pin
 
@@ -185,7 +185,7 @@ def _matches(docs: DataFrame, items: Items, window: int) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(freed(search), f"doc_id {kind}, _hash long, n_words long, spans array<long>, items array<string>")
+    return map_texts(docs, search, f"doc_id {kind}, _hash long, n_words long, spans array<long>, items array<string>")
 
 
 def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
@@ -289,7 +289,7 @@ def _changes(docs: DataFrame, blocks: list[Items], window: int, coverage: float,
     left = left.select("key", "text", F.lit(None).cast("long").alias("n_words"), F.lit(0).cast("long").alias("gone"))
     while True:
         joined = left.join(_spans(left, blocks, window), "key", how)
-        step = pin(joined.mapInArrow(freed(cut), "key string, text string, n_words long, gone long, done boolean"), "cut", left=F.count_if(~F.col("done")))
+        step = pin(map_texts(joined, cut, "key string, text string, n_words long, gone long, done boolean"), "cut", left=F.count_if(~F.col("done")))
         done = step.df.filter("done").select("key", "text")
         settled = done if settled is None else settled.union(done)
         if not step.extra["left"]:
@@ -331,4 +331,4 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, cover
                     part = part.filter(pa.array([i not in new or new[i] is not None for i in range(part.num_rows)]))
                 yield part
 
-    return docs.mapInArrow(freed(clean), docs.schema)
+    return map_texts(docs, clean, docs.schema)

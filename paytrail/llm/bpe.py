@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paytrail.llm.memory import give_back
+from paytrail.llm.memory import map_texts
 from paytrail.llm.words import slices
 
-CACHED = 600_000  # words whose ids a task keeps; some 120 MB
-KEPT = 200_000  # of them, those that a worker met first and keeps for its next task; some 40 MB
+CACHED = 250_000  # words whose ids a task keeps; some 50 MB
+KEPT = 100_000  # of them, those that a worker met first and keeps when there are more, and for its next task; some 20 MB
 CONTRACTED = 50_000  # words contracted at a time
 LONG = 400
 SLICE_BYTES = 2 << 20  # of text encoded at a time
@@ -189,7 +189,7 @@ class Bpe:
         """Ids of all texts one after the other, and the bounds between them. Null is the empty text."""
         split = [self.regex.findall(t) if t else [] for t in texts]
         if len(self.seen) > CACHED:
-            self.forget()
+            self.forget(KEPT)
         self.learn(set(itertools.chain.from_iterable(split)))
         word = np.fromiter(map(self.seen.__getitem__, itertools.chain.from_iterable(split)), np.int64)
         size = self.size[word]
@@ -242,23 +242,20 @@ def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            with encoder(path, pattern) as own:
-                back = Decoder(load(path).ranks, own.db) if body else None
-                for batch in batches:
-                    for part in slices(batch, "text", SLICE_BYTES):
-                        ids, bounds = own.encode(part.column("text").to_pylist())
-                        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
-                        for at, decoded in back.pieces(lists) if back else [(0, None)]:
-                            n = len(decoded) if back else part.num_rows
-                            yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(at, n), lists.slice(at, n), *([decoded] if back else [])], names)
-        finally:
-            give_back()
+        with encoder(path, pattern) as own:
+            back = Decoder(load(path).ranks, own.db) if body else None
+            for batch in batches:
+                for part in slices(batch, "text", SLICE_BYTES):
+                    ids, bounds = own.encode(part.column("text").to_pylist())
+                    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+                    for at, decoded in back.pieces(lists) if back else [(0, None)]:
+                        n = len(decoded) if back else part.num_rows
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(at, n), lists.slice(at, n), *([decoded] if back else [])], names)
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     names = ["doc_id", "ids", *([body] if body else [])]
     schema = T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(body, T.BinaryType())] if body else [])])
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", body: str = "body") -> DataFrame:
@@ -275,7 +272,5 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", body: str = "body") ->
                     yield pa.RecordBatch.from_arrays([decoded if c == ids else part.column(c) for c in names], [body if c == ids else c for c in names])
         finally:
             own.db.close()
-            del own
-            give_back()
 
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paytrail.llm.memory import freed
+from paytrail.llm.memory import map_texts
 from paytrail.llm.words import LOWER, slices, utf8
 
 MASK = "[SECRET]"
@@ -258,7 +258,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: tuple[R
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([[{"kind": names[k], "start": a, "end": b} for a, k, b in x] for x in found], kind)], ["doc_id", "found"])
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(freed(search), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, found array<struct<kind:string,start:long,end:long>>")
+    return map_texts(rows, search, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, found array<struct<kind:string,start:long,end:long>>")
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -279,7 +279,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
                         part = part.set_column(names.index(length), part.schema.field(length), pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(old.to_pylist())], old.type))
                 yield part
 
-    return docs.mapInArrow(freed(clean), docs.schema)
+    return map_texts(docs, clean, docs.schema)
 
 
 def span_text(found: str = "found", kinds: tuple[str, ...] = ()) -> Column:

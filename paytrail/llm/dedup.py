@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from paytrail.llm.graph import components
-from paytrail.llm.memory import freed
+from paytrail.llm.memory import map_texts
 from paytrail.llm.words import mix, shingles, slices, words
 from paytrail.operators.lookup import small
 from paytrail.sources.scratch import Pinned, pin
@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
                 )
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(freed(run), "doc_id long, same string, n_shingles long, keys array<long>, sketch binary")
+    return map_texts(rows, run, "doc_id long, same string, n_shingles long, keys array<long>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(s.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), _same(w), sets], ["doc_id", "same", "shingles"])
 
-    return docs.mapInArrow(freed(run), "doc_id long, same string, shingles array<long>")
+    return map_texts(docs, run, "doc_id long, same string, shingles array<long>")
 
 
 def _agreeing(a: Column, b: Column) -> Column:
@@ -259,7 +259,7 @@ def _with_same(docs: DataFrame, text: str, name: str) -> DataFrame:
             for part in slices(batch, text):
                 yield pa.RecordBatch.from_arrays([*part.columns, _same(words(part.column(text).cast(pa.string())))], names)
 
-    return docs.mapInArrow(freed(run), T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
+    return map_texts(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

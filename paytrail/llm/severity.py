@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paytrail.llm.memory import freed
+from paytrail.llm.memory import map_texts
 from paytrail.llm.words import ALNUM, Words, slices, words
 
 BITS = 22
@@ -150,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_toxic"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))], ["_id", "_toxic", "features"])
 
     kind = chosen.schema["_id"].dataType.simpleString()
-    got = chosen.mapInArrow(freed(extract), f"_id {kind}, _toxic boolean, features array<int>").toArrow().sort_by("_id").combine_chunks()
+    got = map_texts(chosen, extract, f"_id {kind}, _toxic boolean, features array<int>").toArrow().sort_by("_id").combine_chunks()
     found = got.column("features").combine_chunks()
     doc = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy())
     feature, toxic = found.flatten().to_numpy(), got.column("_toxic").to_numpy().astype(bool)
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Model, reject_at: float = REJECT_AT, id: str =
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(e), pa.array(model.grade(s), pa.int32()), pa.array(e >= reject_at)], ["doc_id", "severity", "grade", "rejected"])
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(freed(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, severity double, grade int, rejected boolean")
+    return map_texts(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, severity double, grade int, rejected boolean")
 
 
 def keep_mild(docs: DataFrame, model: Model, reject_at: float = REJECT_AT, text: str = "text") -> DataFrame:
@@ -179,4 +179,4 @@ def keep_mild(docs: DataFrame, model: Model, reject_at: float = REJECT_AT, text:
             for part in slices(batch, text):
                 yield part.filter(pa.array(model.expected(model.scores(part.column(text))) < reject_at))
 
-    return docs.mapInArrow(freed(run), docs.schema)
+    return map_texts(docs, run, docs.schema)

@@ -12,12 +12,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from paytrail.llm.memory import AT_END
+
 SLICE_BYTES = 1 << 20
 
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C17 | 3
 _Q = np.uint64(0xD1342543DE82EF95)
 _POWERS: list[np.ndarray] = []
+AT_END.append(_POWERS.clear)
 
 #: Bytes that words consist of: all but white space.
 GRAPHIC = np.ones(256, bool)
