@@ -353,3 +353,22 @@ def test_random_points():
     points = model.draw_points(5, seed=42)
     assert points == model.draw_points(5, seed=42)
     assert all(2 <= p["maxDepth"] <= 12 and isinstance(p["maxDepth"], int) and 0.01 <= p["stepSize"] <= 0.3 for p in points)
+
+
+@pytest.mark.parametrize("size", [1, 15, 16, 50, 64])
+def test_token_vectors_add_a_sentence_up_once(spark, size):
+    """Digits are added in pairs, never one by one for each row; values are those of all pairs of places in a sentence."""
+    lines = [["a", "b", "a"], ["c"], [None, "d"], None, [], ["b", None, "d", "b"], [f"w{i}" for i in range(300)], ["a", "b", "a"]]
+    df = spark.createDataFrame([(t,) for t in lines], "t array<string>")
+    learned = embed.train_tokens(df, "t", size=size)
+    assert "sequence(" not in learned._jdf.queryExecution().optimizedPlan().toString()
+    sums, pairs = {}, {}
+    for line in lines:
+        line = [t for t in line or [] if t is not None]
+        for i, t in enumerate(line):
+            for u in line[:i] + line[i + 1 :]:
+                own = [2 * int(c, 16) - 15 for c in hashlib.sha256(u.encode()).hexdigest()[:size]]
+                sums[t] = [x + y for x, y in zip(sums.get(t, [0] * size), own)]
+                pairs[t] = pairs.get(t, 0) + 1
+    assert {r["word"]: r["vector"] for r in learned.collect()} == {t: [x / (pairs[t] * 15) for x in s] for t, s in sums.items()}
+    assert {r["word"] for r in embed.train_tokens(df, "t", size=size, min_count=3).collect()} == {"a", "b"}
