@@ -201,3 +201,46 @@ def test_queries_without_the_training_data_part(monkeypatch):
     monkeypatch.setattr(entry, "_optional", lambda name: None)
     assert "pipeline" not in entry.queries() and "lookback_exact" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_fit_is_not_repeated_for_the_second_look(spark, monkeypatch):
+    """The rule's second look needs no second fit, and later fits double."""
+    fitted, losses, own = [], [], model.learner
+    monkeypatch.setattr(model, "learner", lambda label, params: fitted.append(params["maxIter"]) or own(label, params))
+    monkeypatch.setattr(model.GBTClassificationModel, "evaluateEachIteration", lambda self, df: losses[: self.getNumTrees])
+    df = spark.range(60).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 2 == 0).alias("held"))
+    rows = model.assemble(df, ["x"])
+    for least, looked, fits, most in ((3, 8, [16], 100), (5, 16, [16], 100), (12, 16, [16], 100), (13, 32, [16, 32], 100), (30, 64, [16, 32, 64], 100), (6, 6, [6], 6), (11, 11, [11], 11), (20, 20, [16, 20], 20)):
+        fitted.clear()
+        losses[:] = [abs(i - least) for i in range(1, 101)]
+        kept, curve = model.fit_curve(rows, "y", "held", {"maxDepth": 1, "patience": 4, "maxIter": most})
+        assert (fitted, len(curve), kept.getNumTrees) == (fits, looked, least)
+
+
+def test_large_fits_run_one_after_another(spark, monkeypatch):
+    import threading
+    import time
+
+    df = spark.range(60).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 4 + 1).cast("int").alias("fold"))
+    lock, running, most, own = threading.Lock(), [0], [0], model.fit_fold
+
+    def watched(*args):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.3)
+        try:
+            return own(*args)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(model, "fit_fold", watched)
+    scores = []
+    for limit, at_once in ((model.FIT_BYTES, 4), (1, 1)):
+        monkeypatch.setattr(model, "FIT_BYTES", limit)
+        most[0] = 0
+        _, valid, _ = model.cross_fit(df, None, id="id", label="y", features=["x"], first=4, params={"maxIter": 2, "maxDepth": 1})
+        assert most[0] == at_once
+        scores.append(sorted(map(tuple, valid.collect())))
+    assert scores[0] == scores[1]
