@@ -1,13 +1,17 @@
 """The flow from payment tables to scores, and the features it puts together."""
 
+import hashlib
 import subprocess
 import sys
+import threading
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from paytrail.operators import embed, encode, groups
 from paytrail.operators import relational as rel
 from paytrail.plans import score_flow
 from paytrail.plans.fixtures import payment_parts
@@ -100,3 +104,64 @@ def test_pinned_tables_go_to_the_named_folder(tmp_path):
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent, timeout=120)
     assert len(list(tmp_path.rglob("*.parquet"))) >= 1
+
+
+def test_wide_rows_pass_the_joins_whole(spark):
+    fact = spark.range(6).select(F.col("id").alias("a"), "id", *[(F.col("id") * i).alias(f"x{i}") for i in range(40)])
+    one = spark.range(4).select("id", F.lit(None).cast("long").alias("none"), F.col("id").alias("v-1"))
+    two = spark.range(2, 9).select((-F.col("id")).alias("w.2"), "id")
+    got = rel.attach_features(fact, "id", iter([one, two]))
+    assert got.columns == ["id", "a", *[f"x{i}" for i in range(40)], "none", "v-1", "w.2"]
+    rows = {r[0]: (r[1], r[41], *r[42:]) for r in got.collect()}
+    assert rows == {i: (i, i * 39, None, i if i < 4 else None, -i if i >= 2 else None) for i in range(6)}
+    assert rel.attach_features(fact, "id", []).columns == fact.columns
+    widths, nodes = [], [got._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName().startswith("Join"):
+            widths.append(node.output().size())
+    assert len(widths) == 2 and max(widths) <= 5  # the key of both sides and a struct of each part
+
+
+def test_numbers_of_one_type_share_a_dictionary(spark, monkeypatch):
+    schema = "id long, s string, a long, b long, c double, d double"
+    rows = [(1, "x", 5, None, 0.0, 1.5), (2, None, 7, 2, -0.0, None), (3, "y", 5, 2, float("nan"), -1.0), (4, "x", None, 9, 2.5, 1.5)]
+    df, cols = spark.createDataFrame(rows, schema), ["s", "a", "b", "c", "d"]
+    each = sorted(map(tuple, encode.category_codes(df, cols).select("id", *cols).collect()))
+    sorts, original = [], encode.with_ordinal
+    monkeypatch.setattr(encode, "with_ordinal", lambda *a, **kw: sorts.append(a) or original(*a, **kw))
+    shared = encode.category_codes(df, cols, unique=["id"])
+    assert shared.columns == df.columns and sorted(map(tuple, shared.collect())) == each
+    assert len(sorts) == 3  # texts, longs, doubles
+
+
+@pytest.mark.parametrize("block", [3, 1 << 16])
+def test_token_sums_of_a_batch(monkeypatch, block):
+    monkeypatch.setattr(embed, "BLOCK", block)
+    rows = [["a", "b", "a"], None, [], ["b", None, "c\u00e9"], ["d"], [None], ["a", "b", "c\u00e9", "d", "e"]]
+    (out,) = embed._token_sums(iter([pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["t"])]), 7)
+    digits = lambda w: [int(x, 16) for x in hashlib.sha256(w.encode()).hexdigest()[:7]]
+    want = {}
+    for row in rows:
+        known = [t for t in row or [] if t is not None]
+        total = [sum(d) for d in zip(*map(digits, known))]
+        for t in known:
+            add = [1, int(len(known) > 1), len(known), *total]
+            want[t] = [x + y for x, y in zip(want.get(t, [0] * 10), add)]
+    assert {r["word"]: list(r.values())[1:] for r in out.to_pylist()} == want
+
+
+def test_values_are_counted_without_the_joins_before(spark, parts, monkeypatch):
+    base = score_flow.row_features(rel.union_splits({"train": parts[0], "test": parts[1]}))
+    plans, original = [], groups.pin
+    monkeypatch.setattr(groups, "pin", lambda df, *a: plans.append(df._jdf.queryExecution().analyzed().toString()) or original(df, *a))
+    base = scratch.pin(base, "base").df
+    assert "id_31_count" in score_flow.frequency_features(base).columns
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
+def test_families_are_built_side_by_side(spark):
+    meet = threading.Barrier(2, timeout=60)
+    tables = [spark.range(i) for i in range(3)]
+    assert score_flow._side_by_side(spark, [lambda: [tables[0]], lambda: meet.wait() < 2 and [tables[1]], lambda: meet.wait() < 2 and [tables[2], tables[0]]]) == [*tables, tables[0]]
