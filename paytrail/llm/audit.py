@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paytrail.llm.memory import give_back
-from paytrail.llm.words import GRAPHIC, slices, utf8
+from paytrail.llm.memory import map_texts
+from paytrail.llm.words import GRAPHIC, gathered, slices, utf8
 from paytrail.llm.words import words as split
-from paytrail.sources.scratch import pin
+from paytrail.sources.scratch import ROW_BY_ROW, pin
 
 SHARD_BYTES = 8 << 20  # of text in a shard; a longer text is a shard of its own
+PIECE_BYTES = 1 << 20  # of text in a row of a shard: a shard's dictionary is one, its documents come in rows that are small to hold and to pass on
 SLOT_BITS = 12  # words are numbered by slot of their hash; a word occurs once a shard, so that no word can fill a slot
 SLOTS = 1 << SLOT_BITS
 FILTERS = "ABCDE"
@@ -78,7 +79,7 @@ def _list(x: pa.Array | np.ndarray) -> pa.Array:
 
 
 def _local_shards(docs: DataFrame, id: str, text: str, part: str) -> DataFrame:
-    """One row a shard, its columns numbered within the shard, with what else is known of its documents. ``words``: by slot, joined by blanks."""
+    """The shards in rows of some documents each, columns numbered within the shard, with what else is known of the documents. ``words``, in a shard's first row: by slot, joined by blanks."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id).alias("row_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(body, 256)).alias("digest"), body.alias("text"))
     kinds = (rows.schema["row_id"].dataType, T.StringType(), T.BinaryType(), T.BooleanType(), T.BooleanType())
@@ -86,21 +87,21 @@ def _local_shards(docs: DataFrame, id: str, text: str, part: str) -> DataFrame:
     schema = T.StructType([T.StructField("shard", T.LongType()), *[T.StructField(c, T.ArrayType(k)) for c, k in arrays.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() << 32
-        try:
-            for batch in batches:
-                for one in slices(batch, "text", SHARD_BYTES):
-                    bounds, columns, counts, words = count_terms(one.column("text"))
-                    capitals, symbols = text_flags(one.column("text"))
-                    ends = np.searchsorted(slot_of(words), np.arange(SLOTS + 1))
-                    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words.cast(pa.string())), " ")
-                    cells = (one.column("row_id"), one.column("part"), one.column("digest"), capitals, symbols, bounds.astype(np.int32), columns, counts, joined)
-                    yield pa.RecordBatch.from_arrays([pa.array([shard]), *map(_list, cells)], schema.names)
-                    shard += 1
-        finally:
-            give_back()
-
-    return rows.mapInArrow(run, schema)
+        first = TaskContext.get().partitionId() << 32
+        for shard, one in enumerate(gathered(batches, "text", SHARD_BYTES), first):
+            bounds, columns, counts, words = count_terms(one.column("text"))
+            capitals, symbols = text_flags(one.column("text"))
+            ends = np.searchsorted(slot_of(words), np.arange(SLOTS + 1))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words.cast(pa.string())), " ")
+            words, a = _list(joined), 0
+            for piece in slices(one, "text", PIECE_BYTES):
+                b = a + piece.num_rows
+                of = slice(bounds[a], bounds[b])
+                cells = (piece.column("row_id"), piece.column("part"), piece.column("digest"), capitals[a:b], symbols[a:b], (bounds[a : b + 1] - bounds[a]).astype(np.int32), columns[of], counts[of])
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), *map(_list, cells), words], schema.names)
+                words, a = pa.nulls(1, words.type), b
+
+    return map_texts(rows, run, schema)
 
 
 def _number(messages: DataFrame) -> DataFrame:
@@ -127,14 +128,14 @@ def _number(messages: DataFrame) -> DataFrame:
 
 
 def term_matrix(docs: DataFrame, id: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
-    """The matrix by shards: shard, the documents' arrays (row_id, part, digest, capitals, symbols), bounds, columns (long) and counts.
+    """The matrix by shards: shard, the documents' arrays (row_id, part, digest, capitals, symbols), bounds, columns (long) and counts; a row for each ``PIECE_BYTES`` of a shard's text.
 
     Words are maximal runs without white space, case-sensitive. ``columns`` holds the words' numbers in the dictionary of all shards: equal words have
     equal numbers everywhere, different words have different ones. Two documents with one id are two rows. An empty table has no shards.
     A shard sends its different words, not its tokens, in one message a slot; a slot's words are numbered in a stream of the messages sorted by slot, which holds
     one slot's dictionary at a time.
     """
-    local = pin(_local_shards(docs, id, text, part), "term-shards").df
+    local = pin(_local_shards(docs, id, text, part), "term-shards", ROW_BY_ROW).df
     messages = local.select("shard", F.posexplode("words").alias("slot", "words")).filter("words <> ''")
     shards = local.drop("words")
     names = [c for c in shards.columns if c != "columns"]
@@ -145,8 +146,9 @@ def term_matrix(docs: DataFrame, id: str = "doc_id", text: str = "text", part: s
         ranks = found.column("ranks").combine_chunks() if found.num_rows else pa.array([[]], pa.list_(pa.int32()))
         slot = found.column("slot").to_numpy() if found.num_rows else np.zeros(1, np.int32)
         table = ranks.flatten().to_numpy().astype(np.int64) * SLOTS + np.repeat(slot, ranks.value_lengths().to_numpy())
-        columns = table[one.column("columns").combine_chunks().flatten().to_numpy()]
-        return pa.table([*[one.column(c) for c in names], _list(columns)], schema=pa.schema([*[one.schema.field(c) for c in names], ("columns", pa.list_(pa.int64()))]))
+        out = pa.schema([*[one.schema.field(c) for c in names], ("columns", pa.list_(pa.int64()))])
+        rows = one.to_batches(max_chunksize=1)
+        return pa.Table.from_batches([pa.record_batch([*[row.column(c) for c in names], _list(table[row.column("columns").flatten().to_numpy()])], schema=out) for row in rows], out)
 
     return shards.groupBy("shard").cogroup(_number(messages).groupBy("shard")).applyInArrow(run, schema)
 

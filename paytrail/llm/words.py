@@ -75,6 +75,25 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         at += n
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Full pieces of all rows, up to ``most`` bytes of text each, whatever the size of the batches; a longer text makes a piece of its own."""
+    held, room = [], most
+    for batch in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
+        at = 0
+        while at < len(size):
+            n = max(int(np.searchsorted(np.cumsum(size[at:]), room, "right")), not held)
+            if n:
+                held.append(batch.slice(at, n))
+                room -= int(size[at : at + n].sum())
+                at += n
+            if at < len(size):
+                yield pa.concat_batches(held)
+                held, room = [], most
+    if held:
+        yield pa.concat_batches(held)
+
+
 @dataclass
 class Words:
     """``doc``: index of the text each word is in; ``start``/``end``: its bytes; ``bounds``: first word of each text, and the end."""
